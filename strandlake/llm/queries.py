@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, hashing, html_text, mixing, ngram_join, pii, topk, toxicity, url_filter
+from strandlake.llm import chat, hashing, html_text, mixing, ngram_join, pieces, pii, topk, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -46,6 +46,15 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.pieces_of(spark)
+    encoded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    digest = encoded.select("doc_id", "text_hash", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids")
+    decoded = pieces.decode(digest, model)
+    return decoded.select("doc_id", "n_pieces", "ids_hash", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+
+
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
