@@ -1,8 +1,8 @@
 """Exact top-k search over integer vectors by an impact-ordered index, score at a time.
 
-Within a block of candidates each dimension has two lists of postings (for positive and for negative query weights), cut into
-segments of equal quantised impact and kept in descending impact. A query takes segments of all its dimensions in descending impact
-and adds their quantised impacts to accumulators. What all unread segments and the quantisation can still add bounds every score
+Within a block of candidates each dimension has postings for positive and for negative query weights, with impacts (distances from
+the block's least or greatest value) quantised to LEVELS. Segments of equal impact are read in descending impact, a band of them for
+many queries at once, and their quantised impacts, times the query's weights, are added to accumulators. What all unread segments and the quantisation can still add bounds every score
 from above, the accumulators from below; processing stops only when these bounds prove that few candidates can be members, or when
 no segment is left. All possible members, however many, are rescored exactly.
 """
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.blocks import leading, search, usable
 
-#: Levels of quantised impact of a dimension; rounds of descending impact a query; candidates few enough to stop for.
-LEVELS, ROUNDS, FEW = 32, 8, 256
+#: Levels of quantised impact of a dimension; bounds of the bands in which they are read; candidates few enough to stop for.
+LEVELS, BANDS, FEW = 32, (33, 24, 16, 8, 0), 256
+QUERIES_AT_ONCE = 128
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -25,59 +26,48 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class Index:
-    """Postings of a block of candidates: matrix of integers, one row each."""
+    """Postings of a block of candidates: matrix of integers, one row each. A band holds the segments of some levels."""
 
     def __init__(self, c: np.ndarray):
-        self.c, (self.n, self.d) = c, c.shape
-        self.low, self.high = c.min(0), c.max(0)
-        self.step = np.maximum(1.0, np.ceil((self.high - self.low + 1) / LEVELS))
-        self.lists = []
-        for gap in (c - self.low, self.high - c):  # for positive and negative weights
-            level = np.floor(gap / self.step).astype(np.int64)
-            order = np.argsort(-level, axis=0, kind="stable").T.astype(np.int32)
-            sorted_level = np.take_along_axis(level.T, order, 1)
-            # at_least[d, L]: postings of level L and above; these come first.
-            at_least = np.stack([np.append(np.cumsum(np.bincount(row, minlength=LEVELS + 1)[::-1])[::-1], 0) for row in sorted_level])
-            self.lists.append((order, sorted_level.astype(np.float64), at_least))
-
-    def members(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Indices of all candidates that can be among the k best (k best scores, with all ties)."""
+        low, high = c.min(0), c.max(0)
+        self.n = len(c)
+        self.step = np.maximum(1.0, np.ceil((high - low + 1) / LEVELS))
+        self.up, self.down = np.floor((c - low) / self.step), np.floor((high - c) / self.step)  # for positive and negative weights
+
+    def members(self, q: np.ndarray, k: int):
+        """For each query (a row of q): its number, and the indices of all candidates that can have one of the k best scores, ties included."""
         weight = np.abs(q)
         worth = weight * self.step  # of one level
-        side = (q < 0).astype(int)
-        total = np.zeros(self.n)
-        read = np.zeros(self.d, np.int64)
-        most = float((worth * LEVELS).max())
-        for turn in range(1, ROUNDS + 1):
-            least = most * (1 - turn / ROUNDS)  # segments of more impact than this are due
-            level = np.where(worth > 0, np.floor(least / np.maximum(worth, 1e-300)) + 1, LEVELS + 1)
-            level = np.clip(level, 1, LEVELS + 1).astype(np.int64)
-            for d in range(self.d):
-                order, levels, at_least = self.lists[side[d]]
-                end = at_least[d, level[d]]
-                if end > read[d]:
-                    total[order[d, read[d] : end]] += worth[d] * levels[d, read[d] : end]
-                    read[d] = end
-            # A posting read is short by less than one level; one unread is below the level that is due.
-            rest = float((weight * (np.minimum(level, LEVELS + 1) * self.step - 1)).sum())
-            bar = np.partition(total, self.n - k)[self.n - k] if self.n > k else -np.inf
-            possible = np.flatnonzero(total + rest >= bar)
-            if len(possible) <= max(FEW, 4 * k):
+        sides = [(np.where(q >= 0, worth, 0.0), self.up), (np.where(q < 0, worth, 0.0), self.down)]
+        total = np.zeros((len(q), self.n))
+        active = np.arange(len(q))
+        for high, low in zip(BANDS, BANDS[1:], strict=False):
+            for side, level in sides:
+                total[active] += side[active] @ np.where((level < high) & (level >= low), level, 0.0).T
+            # A posting read is short by less than one level; one unread is below the band.
+            rest = (weight[active] * (max(low, 1) * self.step - 1)).sum(1)
+            bar = np.partition(total[active], self.n - k, axis=1)[:, self.n - k] if self.n > k else np.full(len(active), -np.inf)
+            possible = total[active] + rest[:, None] >= bar[:, None]
+            done = (possible.sum(1) <= max(FEW, 4 * k)) | (low == 0)
+            for i in np.flatnonzero(done):
+                yield active[i], np.flatnonzero(possible[i])
+            active = active[~done]
+            if not len(active):
                 break
-        return possible
 
 
 def kernel(k: int):
     def run(qi, q, ci, c):
         index = Index(c)
+        own = int((np.searchsorted(ci, qi, "right") - np.searchsorted(ci, qi)).max())
         at, ids, scores = [], [], []
-        for i in range(len(qi)):
-            own = np.searchsorted(ci, qi[i])
-            found = index.members(q[i], k + int(np.searchsorted(ci, qi[i], "right") - own))
-            found = found[ci[found] != qi[i]]
-            score = (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
-            best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
-            at.append(np.full(len(best), i)), ids.append(ci[found][best]), scores.append(score[best])
+        for first in range(0, len(qi), QUERIES_AT_ONCE):
+            for i, found in index.members(q[first : first + QUERIES_AT_ONCE], k + own):
+                i += first
+                found = found[ci[found] != qi[i]]
+                score = (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
+                best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
+                at.append(np.full(len(best), i)), ids.append(ci[found][best]), scores.append(score[best])
         return np.concatenate(at), np.concatenate(ids), np.concatenate(scores)
 
     return run
