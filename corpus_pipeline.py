@@ -1,6 +1,56 @@
-"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again."""
+"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again as the next one's input.
+
+toxicity drops documents whose score is TOXIC_AT or more; near_duplicates keeps the smallest doc_id of each group; pii replaces
+personal data in texts by the kind in brackets; mixing repeats documents to the target weights, in training order; pieces encodes
+what is left. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.llm import mixing, ngram_join, pieces, pii, toxicity
+from strandlake.llm.shared import table
+
+#: No stage but mixing could be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).where(F.col("score") < toxicity.TOXIC_AT).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates_removed(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.training_order(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(docs.select("doc_id", "text"), pieces.pieces_of(spark))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("pieces", pieces_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return docs
