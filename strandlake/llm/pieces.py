@@ -5,11 +5,13 @@ Its substrings of bounded length are exploded and equi-joined to the piece table
 lattice, which a fold by Spark's higher-order aggregate turns into one segmentation:
 
 - fold "viterbi", for unigram models: the best sum of scores at every position, then back from the end.
-- fold "merge", for BPE models, whose result is no best sum: the edge of highest score (then leftmost) that joins exactly two present
-  symbols is applied until none does. Symbol bounds are the bits of one number.
+- fold "merge", for BPE models, whose result is no best sum: edges in order of score (then leftmost), each applied if it joins exactly
+  two present symbols. One pass is enough as every piece is reached by better ones (a test checks that of the vocabulary). Symbol
+  bounds are the bits of one number.
 
-Documents meet the words' pieces in blocks: a block's distinct words fetch their pieces by one join, and its documents (sent as
-compressed batches) are written out from them. Words of more than LONG characters take the same merges in a per-word Python helper.
+Words are first cut between letters that stand together in no piece, which leaves far fewer distinct ones. Documents meet their pieces in blocks: a block's distinct words fetch their pieces by one join, and its documents (sent as
+compressed batches) are written out from them. Words of more than LONG characters, and
+those with several space marks (pieces of equal score), take the same merges in a per-word Python helper.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 60
 #: Documents of about so many neighbouring doc_ids form a block.
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -41,9 +44,10 @@ class Pieces:
     first_byte: int | None
     unknown: int
     fold: str
+    pairs: frozenset  # of letters that follow each other in some piece
     dummy_prefix: bool = True
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.ids))
 
@@ -58,7 +62,25 @@ def load(model: str = MODEL, fold: str = "merge") -> Pieces:
     if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in ids):
         raise ValueError("pieces that go beyond a word can't be looked up by word")
     byte = [i for i in range(m.get_piece_size()) if m.is_byte(i)]
-    return Pieces(ids, {p: m.get_score(i) for p, i in ids.items()}, min(byte) if byte else None, m.unk_id(), fold)
+    pairs = frozenset(a + b for piece in ids for a, b in zip(piece, piece[1:], strict=False))
+    return Pieces(ids, {p: m.get_score(i) for p, i in ids.items()}, min(byte) if byte else None, m.unk_id(), fold, pairs)
+
+
+def cut(word: str, pairs: frozenset) -> list[str]:
+    """A word in parts that no piece joins."""
+    at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _one_pass(word: str, p: Pieces) -> list[int]:
+    """What the fold gives for a word, to compare with merged()."""
+    spans = [(i, j) for i in range(len(word)) for j in range(i + 2, min(len(word), i + p.longest) + 1) if word[i:j] in p.ids]
+    bounds = set(range(len(word) + 1))
+    for i, j in sorted(spans, key=lambda s: (-p.scores[word[s[0] : s[1]]], s[0])):
+        if i in bounds and j in bounds and sum(x in bounds for x in range(i + 1, j)) == 1:
+            bounds -= set(range(i + 1, j))
+    at = sorted(bounds)
+    return [x for a, b in zip(at, at[1:], strict=False) for x in ([p.ids[word[a:b]]] if word[a:b] in p.ids else _loose(p, word[a:b]))]
 
 
 def units(text: str, prefix: bool = True) -> list[str]:
@@ -121,8 +143,7 @@ def _merge_fold(edges: DataFrame, p: Pieces) -> DataFrame:
     bit = lambda x: f"shiftleft(1L, {x})"
     joins = f"filter(edges, e -> e.stop - e.start > 1)"
     ranked = f"array_sort(transform({joins}, e -> struct(-e.score as rank, e.start as start, {bit('e.start')} | {bit('e.stop')} as ends, {bit('e.stop')} - {bit('e.start + 1')} as inner)))"
-    step = "get(filter(ranked, e -> (bounds & e.ends) = e.ends and bit_count(bounds & e.inner) = 1), 0)"
-    fold = f"aggregate(sequence(1, length(word)), {bit('length(word) + 1')} - 1, (bounds, i) -> coalesce(bounds & ~({step}.inner), bounds))"
+    fold = f"aggregate(ranked, {bit('length(word) + 1')} - 1, (bounds, e) -> if((bounds & e.ends) = e.ends and bit_count(bounds & e.inner) = 1, bounds & ~e.inner, bounds))"
     chosen = f"filter(edges, e -> (bounds & ({bit('e.start')} | {bit('e.stop')})) = ({bit('e.start')} | {bit('e.stop')}) and (bounds & ({bit('e.stop')} - {bit('e.start + 1')})) = 0)"
     out = edges.withColumn("ranked", F.expr(ranked)).withColumn("bounds", F.expr(fold)).withColumn("chosen", F.expr(f"map_from_entries(transform({chosen}, e -> struct(e.start, e.id)))"))
     ids = f"flatten(transform(filter(sequence(0, length(word) - 1), i -> (bounds & {bit('i')}) <> 0), i -> if(chosen[i] is null, {_char_ids(p, 'i')}, array(chosen[i]))))"
@@ -143,7 +164,8 @@ def _viterbi_fold(edges: DataFrame, p: Pieces) -> DataFrame:
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
     """words: distinct word. Returns word, ids."""
     # Distinct words are already dealt by word, so the lattice needs no further shuffle.
-    short = _edges(words.where(f"length(word) <= {LONG}"), p).select("word", F.array_compact("edges").alias("edges"))
+    plain = f"length(word) <= {LONG} and not startswith(word, '{SPACE * 2}')" if p.fold == "merge" else f"length(word) <= {LONG}"
+    short = _edges(words.where(plain), p).select("word", F.array_compact("edges").alias("edges"))
     found = (_merge_fold if p.fold == "merge" else _viterbi_fold)(short, p)
     if p.fold != "merge":
         return found.unionByName(_viterbi_fold(_edges(words.where(f"length(word) > {LONG}"), p).select("word", F.array_compact("edges").alias("edges")), p))
@@ -153,7 +175,7 @@ def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(w, sent.value) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
-    return found.unionByName(words.where(f"length(word) > {LONG}").select("word").mapInArrow(long_words, "word string, ids array<int>"))
+    return found.unionByName(words.where(f"not ({plain})").select("word").mapInArrow(long_words, "word string, ids array<int>"))
 
 
 def encode(docs: DataFrame, p: Pieces) -> DataFrame:
@@ -182,7 +204,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
                 seen = set()
                 for s in part.column("text").to_pylist():
                     seen.update(units(s, p_prefix))
-                found = sorted(seen)
+                found = sorted({part for u in seen for part in cut(u, pairs)})
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], ["block", "word"])
 
     def packed(batches):
@@ -193,7 +215,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
                     w.write_table(part)
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
 
-    p_prefix = p.dummy_prefix
+    p_prefix, pairs = p.dummy_prefix, p.pairs
     of_block = table(rows.select("block", "text").mapInArrow(words_of, "block bigint, word string").distinct(), "block-words")
     found = table(encode_words(of_block.select("word").distinct(), p), "word-pieces")
     needed = of_block.join(found, "word").select("block", "word", "ids")
@@ -201,6 +223,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     def write(key, texts, words):
         known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
         ids, hashes, out = [], [], []
+        whole: dict[str, list[int]] = {}
         for payload in texts.column("payload"):
             t = pa.ipc.open_stream(payload.as_buffer()).read_all()
             ids += t.column("doc_id").to_pylist()
@@ -208,7 +231,10 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
             for s in t.column("text").to_pylist():
                 line: list[int] = []
                 for u in units(s, p_prefix):
-                    line += known[u]
+                    got = whole.get(u)
+                    if got is None:
+                        got = whole[u] = [i for part in cut(u, pairs) for i in known[part]]
+                    line += got
                 out.append(pa.array(line, pa.int32()))
         lists = pa.ListArray.from_arrays(pa.array([0, *_running(map(len, out))], pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": lists, "text_hash": pa.array(hashes, pa.int64())})
