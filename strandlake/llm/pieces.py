@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 60
 #: Documents of about so many neighbouring doc_ids form a block.
-BLOCK_IDS = 2048
+BLOCK_IDS = 512
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
             at = end
 
     def words_of(batches):
-        for b in batches:
+        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             for key, part in parts(b):
                 seen = set()
                 for s in part.column("text").to_pylist():
@@ -263,8 +263,10 @@ def decode(encoded: DataFrame, p: Pieces) -> DataFrame:
     def run(batches):
         for b in batches:
             get = sent.value.get
-            texts = [b"".join(get(i, b"") for i in (ids or ())).decode("utf-8", "replace")[drop:] for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                texts = [b"".join(get(i, b"") for i in (ids or ())).decode("utf-8", "replace")[drop:] for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
 
     return encoded.select(*names).mapInArrow(run, encoded.select(*names).schema.add("text", "string"))
 
