@@ -9,9 +9,10 @@ lattice, which a fold by Spark's higher-order aggregate turns into one segmentat
   two present symbols. One pass is enough as every piece is reached by better ones (a test checks that of the vocabulary). Symbol
   bounds are the bits of one number.
 
-Words are first cut between letters that stand together in no piece, which leaves far fewer distinct ones. Documents meet their pieces in blocks: a block's distinct words fetch their pieces by one join, and its documents (sent as
-compressed batches) are written out from them. Words of more than LONG characters, and
-those with several space marks (pieces of equal score), take the same merges in a per-word Python helper.
+Words are first cut between letters that stand together in no piece, which leaves far fewer distinct ones. Documents are coded by
+word in compressed blocks. The most frequent words (a fixed number) go to every task; the others of a block fetch their pieces by a
+join, and the block's documents are written out from both. Words of more than LONG characters, and those with several space marks
+(pieces of equal score), take the same merges in a per-word Python helper.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ import re
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,10 @@ SPACE = "▁"
 LONG = 60
 #: Documents of about so many neighbouring doc_ids form a block.
 BLOCK_IDS = 512
+#: So many words at most go to every task; the others reach blocks by a join.
+FREQUENT = 50_000
+#: Bytes of text, and ids to decode, that a task handles at once.
+SLICE_BYTES, DECODED_IDS = 4 << 20, 400_000
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -118,17 +125,18 @@ def merged(word: str, p: Pieces) -> list[int]:
     return [x for s in symbols if s is not None for x in ([p.ids[s]] if s in p.ids else _loose(p, s))]
 
 
-def _edges(words: DataFrame, p: Pieces) -> DataFrame:
-    """words: word. Adds edges: array of (start, stop, id, score) of the substrings that are pieces."""
+def _edges(words: DataFrame, p: Pieces, kept: str) -> DataFrame:
+    """words: word. Adds edges: array of kept (SQL over start, size, rank, id, score), one of each substring that is a piece."""
     spark = words.sparkSession
+    place = {score: i for i, score in enumerate(sorted(set(p.scores.values()), reverse=True))}
+    of = list(p.ids)
     # As large as the model's vocabulary, whatever the data: safe to broadcast.
-    known = F.broadcast(spark.createDataFrame(pa.table({"piece": list(p.ids), "id": pa.array(p.ids.values(), pa.int32()), "score": pa.array([p.scores[x] for x in p.ids], pa.float64())})))
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.expr(f"sequence(1, least({p.longest}, length(word) - start))")).alias("size"))
-    cut = spans.select("word", "start", "size", F.expr("substr(word, start + 1, size)").alias("piece"))
-    met = cut.join(known, "piece", "left").where("id is not null or size = 1")
-    return met.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "id", "score"))).alias("edges"))
+    known = F.broadcast(spark.createDataFrame(pa.table({"piece": of, "id": pa.array(p.ids.values(), pa.int64()), "rank": pa.array([place[p.scores[x]] for x in of], pa.int64()), "score": pa.array([p.scores[x] for x in of], pa.float64())})))
+    starts = words.select("word", F.expr("explode(sequence(0, length(word) - 1))").alias("start"))
+    spans = starts.select("word", "start", F.expr(f"explode(sequence(1, least({p.longest}, length(word) - start)))").alias("size"))
+    # Every character keeps a row, so that words of unknown characters stay.
+    met = spans.withColumn("piece", F.expr("substr(word, start + 1, size)")).join(known, "piece", "left").where("id is not null or size = 1")
+    return met.select("word", F.expr(f"if(id is null, null, {kept})").alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
 
 #: Ids of one character that no edge covers.
@@ -139,43 +147,118 @@ def _char_ids(p: Pieces, at) -> str:
     return f"transform(sequence(1, length({code}), 2), h -> {p.first_byte} + cast(conv(substr({code}, h, 2), 16, 10) as int))"
 
 
-def _merge_fold(edges: DataFrame, p: Pieces) -> DataFrame:
-    bit = lambda x: f"shiftleft(1L, {x})"
-    joins = f"filter(edges, e -> e.stop - e.start > 1)"
-    ranked = f"array_sort(transform({joins}, e -> struct(-e.score as rank, e.start as start, {bit('e.start')} | {bit('e.stop')} as ends, {bit('e.stop')} - {bit('e.start + 1')} as inner)))"
-    fold = f"aggregate(ranked, {bit('length(word) + 1')} - 1, (bounds, e) -> if((bounds & e.ends) = e.ends and bit_count(bounds & e.inner) = 1, bounds & ~e.inner, bounds))"
-    chosen = f"filter(edges, e -> (bounds & ({bit('e.start')} | {bit('e.stop')})) = ({bit('e.start')} | {bit('e.stop')}) and (bounds & ({bit('e.stop')} - {bit('e.start + 1')})) = 0)"
-    out = edges.withColumn("ranked", F.expr(ranked)).withColumn("bounds", F.expr(fold)).withColumn("chosen", F.expr(f"map_from_entries(transform({chosen}, e -> struct(e.start, e.id)))"))
-    ids = f"flatten(transform(filter(sequence(0, length(word) - 1), i -> (bounds & {bit('i')}) <> 0), i -> if(chosen[i] is null, {_char_ids(p, 'i')}, array(chosen[i]))))"
-    return out.select("word", F.expr(ids).alias("ids"))
+#: An edge of the merge fold as one number, in order of merging: rank, start (6 bits), size (6), id (20).
+_PACKED = "shiftleft(rank, 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(size as bigint), 20) | id"
 
 
-def _viterbi_fold(edges: DataFrame, p: Pieces) -> DataFrame:
+def _merge_fold(words: DataFrame, p: Pieces) -> DataFrame:
+    if max(p.ids.values()) >= 1 << 20:
+        raise ValueError("ids of more than 20 bits")
+    start, size = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
+    bit = lambda x: f"shiftleft(1L, {x})"
+    ends, inner = f"({bit(start)} | {bit(f'{start} + {size}')})", f"({bit(f'{start} + {size}')} - {bit(f'{start} + 1')})"
+    ranked = f"sort_array(filter(edges, e -> {size} > 1))"
+    fold = f"aggregate({ranked}, {bit('length(word) + 1')} - 1, (bounds, e) -> if((bounds & {ends}) = {ends} and bit_count(bounds & {inner}) = 1, bounds & ~{inner}, bounds))"
+    # What remains, from left to right: start, size, id.
+    chosen = f"sort_array(transform(filter(edges, e -> (bounds & {ends}) = {ends} and (bounds & {inner}) = 0), e -> e & {(1 << 32) - 1}L))"
+    out = _edges(words, p, _PACKED).withColumn("bounds", F.expr(fold)).withColumn("chosen", F.expr(chosen))
+    plain = f"transform(chosen, e -> cast(e & {(1 << 20) - 1} as int))"
+    of_start = f"map_from_entries(transform(chosen, e -> struct({start}, cast(e & {(1 << 20) - 1} as int))))"
+    loose = f"flatten(transform(filter(sequence(0, length(word) - 1), i -> (bounds & {bit('i')}) <> 0), i -> if({of_start}[i] is null, {_char_ids(p, 'i')}, array({of_start}[i]))))"
+    return out.select("word", F.expr(f"if(size(chosen) = bit_count(bounds) - 1, {plain}, {loose})").alias("ids"))
+
+
+def _viterbi_fold(words: DataFrame, p: Pieces) -> DataFrame:
     """Unknown characters cost ten below the lowest score, as one symbol each."""
     worst = min(p.scores.values()) - 10
     every = f"array_sort(concat(edges, transform(filter(sequence(0, length(word) - 1), i -> not exists(edges, e -> e.start = i and e.stop = i + 1)), i -> struct(i as start, i + 1 as stop, -1 as id, {worst}D as score))))"
     start = "transform(sequence(0, length(word)), i -> struct(if(i = 0, 0D, cast('-Infinity' as double)) as score, -1 as back, -1 as id))"
     fold = f"aggregate(every, {start}, (best, e) -> transform(best, (x, i) -> if(i = e.stop and best[e.start].score + e.score > x.score, struct(best[e.start].score + e.score as score, e.start as back, e.id as id), x)))"
     back = "aggregate(sequence(1, length(word)), struct(length(word) as at, cast(array() as array<struct<start:int,id:int>>) as path), (s, i) -> if(s.at <= 0, s, struct(best[s.at].back as at, concat(array(struct(best[s.at].back as start, best[s.at].id as id)), s.path) as path)), s -> s.path)"
-    out = edges.withColumn("every", F.expr(every)).withColumn("best", F.expr(fold)).withColumn("path", F.expr(back))
+    out = _edges(words, p, "struct(start, start + size as stop, cast(id as int) as id, score)").withColumn("every", F.expr(every)).withColumn("best", F.expr(fold)).withColumn("path", F.expr(back))
     return out.select("word", F.expr(f"flatten(transform(path, s -> if(s.id < 0, {_char_ids(p, 's.start')}, array(s.id))))").alias("ids"))
 
 
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
     """words: distinct word. Returns word, ids."""
-    # Distinct words are already dealt by word, so the lattice needs no further shuffle.
-    plain = f"length(word) <= {LONG} and not startswith(word, '{SPACE * 2}')" if p.fold == "merge" else f"length(word) <= {LONG}"
-    short = _edges(words.where(plain), p).select("word", F.array_compact("edges").alias("edges"))
-    found = (_merge_fold if p.fold == "merge" else _viterbi_fold)(short, p)
     if p.fold != "merge":
-        return found.unionByName(_viterbi_fold(_edges(words.where(f"length(word) > {LONG}"), p).select("word", F.array_compact("edges").alias("edges")), p))
+        return _viterbi_fold(words, p)
+    short = f"length(word) <= {LONG} and not startswith(word, '{SPACE * 2}')"
     sent = words.sparkSession.sparkContext.broadcast(p)
 
     def long_words(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(w, sent.value) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
-    return found.unionByName(words.where(f"not ({plain})").select("word").mapInArrow(long_words, "word string, ids array<int>"))
+    # Dealt by word before the lattice, whose edges then need no shuffle.
+    found = _merge_fold(words.where(short).select("word").repartition("word"), p)
+    return found.unionByName(words.where(f"not ({short})").select("word").mapInArrow(long_words, "word string, ids array<int>"))
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int):
+    """A batch in slices of about so many bytes of text; a longer text is a slice of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) // most
+    cuts = np.flatnonzero(np.diff(total)) + 1
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+class _Cutter:
+    """cut() for many texts at once. Marks of spaces never follow a letter in a piece, so the words of units() part there too."""
+
+    def __init__(self, p: Pieces):
+        chars = sorted({c for pair in p.pairs for c in pair})
+        self.kind = np.zeros(max(map(ord, chars), default=0) + 2, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for pair in p.pairs:
+            self.joined[self.kind[ord(pair[0])], self.kind[ord(pair[1])]] = True
+        self.prefix = p.dummy_prefix
+
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts in order, and how many each text has."""
+        marked = pc.replace_substring(texts, " ", SPACE)
+        if self.prefix:
+            marked = pc.if_else(pc.equal(marked, ""), marked, pc.binary_join_element_wise(SPACE, marked, ""))
+        if not len(marked) or not pc.sum(pc.binary_length(marked)).as_py():
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        stop = np.cumsum(pc.binary_length(marked).to_numpy().astype(np.int64))
+        data = "".join(marked.to_pylist())
+        code = np.frombuffer(data.encode("utf-32-le"), np.uint32)
+        after = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))  # bytes up to each character's end
+        kind = self.kind[np.minimum(code, len(self.kind) - 1)]
+        ends = np.ones(len(code), bool)
+        ends[:-1] = ~self.joined[kind[:-1], kind[1:]]
+        ends[np.searchsorted(after, stop[stop > 0])] = True
+        bounds = after[ends]
+        parts = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(np.append(0, bounds).astype(np.int32)), pa.py_buffer(data.encode()))
+        return parts, np.diff(np.searchsorted(bounds, stop, "right"), prepend=0)
+
+
+def _gather(first: np.ndarray, size: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs flat[first[c] : first[c] + size[c]] of all codes c, one after another."""
+    n = size[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _runs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place and size of each list, and the values of all."""
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    return np.cumsum(size) - size, size, lists.flatten().to_numpy().astype(np.int32)
+
+
+def _frequent(counted: DataFrame) -> DataFrame:
+    """Of word, n: the most frequent words, FREQUENT at most; ties that would go beyond are all left out."""
+    bins = counted.where(f"length(word) <= {LONG}").groupBy(F.expr("cast(8 * log2(n) as int)").alias("bin")).count().collect()
+    total, least = 0, None
+    for r in sorted(bins, reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["bin"]
+    return counted.where(F.lit(False) if least is None else F.expr(f"length(word) <= {LONG} and cast(8 * log2(n) as int) >= {least}"))
 
 
 def encode(docs: DataFrame, p: Pieces) -> DataFrame:
@@ -185,69 +268,82 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     space mark comes first. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    block = F.coalesce(F.floor(F.col("doc_id").cast("bigint") / BLOCK_IDS), F.xxhash64(text) % 64)
+    block = F.coalesce(F.floor(F.col("doc_id").cast("bigint") / BLOCK_IDS), F.xxhash64(text))
     rows = docs.select(block.cast("bigint").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
-    def parts(batch):
-        """A batch by block."""
-        t = pa.Table.from_batches([batch]).sort_by("block")
-        ids = t.column("block").to_numpy()
-        at = 0
-        while at < len(ids):
-            end = at + int((ids[at:] == ids[at]).sum())
-            yield int(ids[at]), t.slice(at, end - at)
-            at = end
-
     def words_of(batches):
-        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            for key, part in parts(b):
-                seen = set()
-                for s in part.column("text").to_pylist():
-                    seen.update(units(s, p_prefix))
-                found = sorted({part for u in seen for part in cut(u, pairs)})
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], ["block", "word"])
-
-    def packed(batches):
+        cutter = _Cutter(p)
+        for b in batches:
+            for part in _slices(b, 0, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([cutter.parts(part.column(0))[0].unique()], ["word"])
+
+    # n: in how many slices a word is; it only decides which words are sent to all tasks.
+    counted = table(rows.select("text").mapInArrow(words_of, "word string").groupBy("word").agg(F.count("*").alias("n")), "words")
+    found = table(encode_words(counted.select("word"), p), "word-pieces")
+    top = found.join(F.broadcast(_frequent(counted)), "word").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), *_runs(top.column("ids").combine_chunks())) if top.num_rows else (pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3))
+
+    def coded(part, cutter):
+        """Parts of the texts as numbers: places among the frequent words, then among the part's other words; those words; parts of each text."""
+        frequent = sent.value[0]
+        parts, counts = cutter.parts(part.column("text").combine_chunks() if isinstance(part, pa.Table) else part.column(part.schema.get_field_index("text")))
+        met = parts.dictionary_encode()
+        at = pc.fill_null(pc.index_in(met.dictionary, value_set=frequent), -1).to_numpy().astype(np.int64)
+        rare = at < 0
+        at[rare] = len(frequent) + np.arange(rare.sum())
+        return at[met.indices.to_numpy()].astype(np.uint32), met.dictionary.filter(pa.array(rare)), counts
+
+    def by_block(batches):
         for b in batches:
-            for key, part in parts(b):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(part)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+            for s in _slices(b, 2, SLICE_BYTES):
+                t = pa.Table.from_batches([s]).sort_by("block")
+                ids = t.column("block").to_numpy()
+                cuts = np.flatnonzero(np.diff(ids)) + 1
+                for a, z in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                    yield int(ids[a]), t.slice(a, z - a)
+
+    def rare_words(batches):
+        cutter = _Cutter(p)
+        for key, part in by_block(batches):
+            rare = coded(part, cutter)[1]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rare), pa.int64()), rare], ["block", "word"])
 
-    p_prefix, pairs = p.dummy_prefix, p.pairs
-    of_block = table(rows.select("block", "text").mapInArrow(words_of, "block bigint, word string").distinct(), "block-words")
-    found = table(encode_words(of_block.select("word").distinct(), p), "word-pieces")
-    needed = of_block.join(found, "word").select("block", "word", "ids")
+    def packed(batches):
+        cutter = _Cutter(p)
+        for key, part in by_block(batches):
+            codes, rare, counts = coded(part, cutter)
+            planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
+            one = pa.table({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "parts": pa.array(counts, pa.int64())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(one.combine_chunks())
+            words = pa.BufferOutputStream()
+            with pa.ipc.new_stream(words, pa.schema([("word", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(pa.table({"word": rare}))
+            cells = [sink.getvalue().to_pybytes(), pa.Codec("zstd").compress(planes, asbytes=True), words.getvalue().to_pybytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([c], pa.binary()) for c in cells), pa.array([len(codes)], pa.int64())], ["block", "rows", "codes", "rare", "n"])
+
+    needed = rows.mapInArrow(rare_words, "block bigint, word string").join(found.hint("shuffle_merge"), "word").select("block", "word", "ids")
 
     def write(key, texts, words):
-        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        ids, hashes, out = [], [], []
-        whole: dict[str, list[int]] = {}
-        for payload in texts.column("payload"):
-            t = pa.ipc.open_stream(payload.as_buffer()).read_all()
-            ids += t.column("doc_id").to_pylist()
-            hashes += t.column("text_hash").to_pylist()
-            for s in t.column("text").to_pylist():
-                line: list[int] = []
-                for u in units(s, p_prefix):
-                    got = whole.get(u)
-                    if got is None:
-                        got = whole[u] = [i for part in cut(u, pairs) for i in known[part]]
-                    line += got
-                out.append(pa.array(line, pa.int32()))
-        lists = pa.ListArray.from_arrays(pa.array([0, *_running(map(len, out))], pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": lists, "text_hash": pa.array(hashes, pa.int64())})
-
-    sent = rows.mapInArrow(packed, "block bigint, payload binary")
-    return sent.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(write, "doc_id bigint, ids array<int>, text_hash bigint")
-
-
-def _running(sizes):
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
+        _, first, size, flat = sent.value
+        known = words.column("word").combine_chunks() if words.num_rows else pa.array([], pa.string())
+        own_first, own_size, own = _runs(words.column("ids").combine_chunks()) if words.num_rows else [np.zeros(0, np.int64)] * 3
+        ends = np.concatenate([flat, own]).astype(np.int32)
+        out = []
+        for r in texts.to_pylist():
+            t = pa.ipc.open_stream(r["rows"]).read_all()
+            rare = pa.ipc.open_stream(r["rare"]).read_all().column("word").combine_chunks()
+            at = pc.index_in(rare, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = np.frombuffer(pa.Codec("zstd").decompress(r["codes"], r["n"] * 4), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+            sizes = np.concatenate([size, own_size[at]])
+            ids = _gather(np.concatenate([first, own_first[at] + len(flat)]), sizes, ends, codes)
+            upto = np.append(0, np.append(0, np.cumsum(sizes[codes]))[np.cumsum(t.column("parts").to_numpy())])
+            out.append(pa.table({"doc_id": t.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32())), "text_hash": t.column("text_hash")}))
+        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_hash", pa.int64())]).empty_table()
+
+    sent_rows = rows.mapInArrow(packed, "block bigint, rows binary, codes binary, rare binary, n bigint")
+    return sent_rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(write, "doc_id bigint, ids array<int>, text_hash bigint")
 
 
 def decode(encoded: DataFrame, p: Pieces) -> DataFrame:
@@ -257,16 +353,31 @@ def decode(encoded: DataFrame, p: Pieces) -> DataFrame:
     if p.first_byte is not None:
         of_id |= {p.first_byte + b: bytes([b]) for b in range(256)}
     of_id[p.unknown] = " ⁇ ".encode()
-    sent = encoded.sparkSession.sparkContext.broadcast(of_id)
+    sent = encoded.sparkSession.sparkContext.broadcast([of_id.get(i, b"") for i in range(max(of_id) + 2)])  # the last: no piece
     drop = 1 if p.dummy_prefix else 0
 
     def run(batches):
+        size = np.array([len(x) for x in sent.value], np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(sent.value), np.uint8)
         for b in batches:
-            get = sent.value.get
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                texts = [b"".join(get(i, b"") for i in (ids or ())).decode("utf-8", "replace")[drop:] for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+            lists = b.column(b.schema.get_field_index("ids"))
+            total = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)) // DECODED_IDS
+            cuts = np.flatnonzero(np.diff(total)) + 1
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                part = b.slice(a, z - a)
+                ids = part.column(part.schema.get_field_index("ids"))
+                codes = pc.fill_null(ids.flatten(), -1).to_numpy().astype(np.int64)
+                codes[(codes < 0) | (codes >= len(size))] = len(size) - 1
+                upto = np.append(0, np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy().astype(np.int64)))
+                upto = np.append(0, np.cumsum(size[codes]))[upto]
+                data = _gather(first, size, flat, codes).tobytes()
+                texts = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data))
+                try:
+                    texts.validate(full=True)
+                    texts = pc.utf8_slice_codeunits(texts, drop)
+                except pa.ArrowInvalid:  # ids that spell no valid text
+                    texts = pa.array([data[i:j].decode("utf-8", "replace")[drop:] for i, j in zip(upto, upto[1:], strict=False)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), texts], [*names, "text"])
 
     return encoded.select(*names).mapInArrow(run, encoded.select(*names).schema.add("text", "string"))
 
