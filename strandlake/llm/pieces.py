@@ -125,18 +125,20 @@ def merged(word: str, p: Pieces) -> list[int]:
     return [x for s in symbols if s is not None for x in ([p.ids[s]] if s in p.ids else _loose(p, s))]
 
 
-def _edges(words: DataFrame, p: Pieces, kept: str) -> DataFrame:
-    """words: word. Adds edges: array of kept (SQL over start, size, rank, id, score), one of each substring that is a piece."""
+def _edges(words: DataFrame, p: Pieces, kept: str, singles: str = "true") -> DataFrame:
+    """words: word. Adds edges: array of kept (SQL over start, size, rank, id, score), one of each substring that is a piece; those of one character only where singles (SQL over piece) holds, or first in the word."""
     spark = words.sparkSession
     place = {score: i for i, score in enumerate(sorted(set(p.scores.values()), reverse=True))}
     of = list(p.ids)
     # As large as the model's vocabulary, whatever the data: safe to broadcast.
-    known = F.broadcast(spark.createDataFrame(pa.table({"piece": of, "id": pa.array(p.ids.values(), pa.int64()), "rank": pa.array([place[p.scores[x]] for x in of], pa.int64()), "score": pa.array([p.scores[x] for x in of], pa.float64())})))
+    known = F.broadcast(spark.createDataFrame(pa.table({"of": of, "id": pa.array(p.ids.values(), pa.int64()), "rank": pa.array([place[p.scores[x]] for x in of], pa.int64()), "score": pa.array([p.scores[x] for x in of], pa.float64())})).withColumn("key", F.xxhash64("of")))
     starts = words.select("word", F.expr("explode(sequence(0, length(word) - 1))").alias("start"))
     spans = starts.select("word", "start", F.expr(f"explode(sequence(1, least({p.longest}, length(word) - start)))").alias("size"))
-    # Every character keeps a row, so that words of unknown characters stay.
-    met = spans.withColumn("piece", F.expr("substr(word, start + 1, size)")).join(known, "piece", "left").where("id is not null or size = 1")
-    return met.select("word", F.expr(f"if(id is null, null, {kept})").alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    # The first character always keeps a row, so that words of unknown characters stay.
+    cut = spans.withColumn("piece", F.expr("substr(word, start + 1, size)")).where(f"size > 1 or start = 0 or {singles}")
+    # Numbers join faster than strings; the strings are compared after.
+    met = cut.withColumn("key", F.xxhash64("piece")).join(known, "key", "left").where("piece = of or size = 1")
+    return met.select("word", F.expr(f"if(piece = of, {kept}, null)").alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
 
 #: Ids of one character that no edge covers.
@@ -149,6 +151,8 @@ def _char_ids(p: Pieces, at) -> str:
 
 #: An edge of the merge fold as one number, in order of merging: rank, start (6 bits), size (6), id (20).
 _PACKED = "shiftleft(rank, 32) | shiftleft(cast(start as bigint), 26) | shiftleft(cast(size as bigint), 20) | id"
+#: Characters below this code find their ids in an array instead of the lattice.
+_NEAR = 1024
 
 
 def _merge_fold(words: DataFrame, p: Pieces) -> DataFrame:
@@ -156,12 +160,17 @@ def _merge_fold(words: DataFrame, p: Pieces) -> DataFrame:
         raise ValueError("ids of more than 20 bits")
     start, size = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
     bit = lambda x: f"shiftleft(1L, {x})"
-    ends, inner = f"({bit(start)} | {bit(f'{start} + {size}')})", f"({bit(f'{start} + {size}')} - {bit(f'{start} + 1')})"
-    ranked = f"sort_array(filter(edges, e -> {size} > 1))"
-    fold = f"aggregate({ranked}, {bit('length(word) + 1')} - 1, (bounds, e) -> if((bounds & {ends}) = {ends} and bit_count(bounds & {inner}) = 1, bounds & ~{inner}, bounds))"
+    ends = f"({bit(start)} | {bit(f'{start} + {size}')})"
+    span = f"(shiftleft(2L, {start} + {size}) - {bit(start)})"  # both ends and all between
+    fold = f"aggregate(sort_array(edges), {bit('length(word) + 1')} - 1, (bounds, e) -> if(bit_count(bounds & {span}) = 3 and (bounds & {ends}) = {ends}, bounds & ~{span} | {ends}, bounds))"
     # What remains, from left to right: start, size, id.
-    chosen = f"sort_array(transform(filter(edges, e -> (bounds & {ends}) = {ends} and (bounds & {inner}) = 0), e -> e & {(1 << 32) - 1}L))"
-    out = _edges(words, p, _PACKED).withColumn("bounds", F.expr(fold)).withColumn("chosen", F.expr(chosen))
+    chosen = f"transform(filter(edges, e -> (bounds & {span}) = {ends}), e -> e & {(1 << 32) - 1}L)"
+    near = "array(" + ",".join(str(p.ids[chr(c)]) if chr(c) in p.ids else "cast(null as int)" for c in range(_NEAR)) + ")"
+    char = "ascii(substr(word, i + 1, 1))"
+    alone = f"filter(sequence(1, length(word) - 1), i -> (bounds & shiftleft(3L, i)) = shiftleft(3L, i) and {char} < {_NEAR})"
+    alone = f"transform({alone}, i -> shiftleft(cast(i as bigint), 26) | shiftleft(1L, 20) | {near}[{char}])"
+    all_ = f"sort_array(if(size(chosen) = bit_count(bounds) - 1 or length(word) = 1, chosen, concat(chosen, array_compact({alone}))))"
+    out = _edges(words, p, _PACKED, f"ascii(piece) >= {_NEAR}").withColumn("bounds", F.expr(fold)).withColumn("chosen", F.expr(chosen)).withColumn("chosen", F.expr(all_))
     plain = f"transform(chosen, e -> cast(e & {(1 << 20) - 1} as int))"
     of_start = f"map_from_entries(transform(chosen, e -> struct({start}, cast(e & {(1 << 20) - 1} as int))))"
     loose = f"flatten(transform(filter(sequence(0, length(word) - 1), i -> (bounds & {bit('i')}) <> 0), i -> if({of_start}[i] is null, {_char_ids(p, 'i')}, array({of_start}[i]))))"
