@@ -34,9 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 60
 #: Documents of about so many neighbouring doc_ids form a block.
-BLOCK_IDS = 512
+BLOCK_IDS = 1024
 #: So many words at most go to every task; the others reach blocks by a join.
-FREQUENT = 50_000
+FREQUENT = 200_000
 #: Bytes of text, and ids to decode, that a task handles at once.
 SLICE_BYTES, DECODED_IDS = 4 << 20, 400_000
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -218,7 +218,7 @@ class _Cutter:
 
     def __init__(self, p: Pieces):
         chars = sorted({c for pair in p.pairs for c in pair})
-        self.kind = np.zeros(max(map(ord, chars), default=0) + 2, np.int32)
+        self.kind = np.zeros(max(map(ord, chars), default=0) + 2, np.int16)
         self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         for pair in p.pairs:
@@ -232,10 +232,13 @@ class _Cutter:
             marked = pc.if_else(pc.equal(marked, ""), marked, pc.binary_join_element_wise(SPACE, marked, ""))
         if not len(marked) or not pc.sum(pc.binary_length(marked)).as_py():
             return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
-        stop = np.cumsum(pc.binary_length(marked).to_numpy().astype(np.int64))
+        stop = np.cumsum(pc.binary_length(marked).to_numpy(), dtype=np.int32)
         data = "".join(marked.to_pylist())
         code = np.frombuffer(data.encode("utf-32-le"), np.uint32)
-        after = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))  # bytes up to each character's end
+        wide = np.ones(len(code), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            wide += code >= least
+        after = np.cumsum(wide, dtype=np.int32)  # bytes up to each character's end
         kind = self.kind[np.minimum(code, len(self.kind) - 1)]
         ends = np.ones(len(code), bool)
         ends[:-1] = ~self.joined[kind[:-1], kind[1:]]

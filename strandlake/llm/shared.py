@@ -21,6 +21,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back; the files hold the only copy that later steps use."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    # A finished table needs its shuffles no longer; without this they stay until the driver collects its garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
