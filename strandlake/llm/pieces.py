@@ -36,9 +36,9 @@ LONG = 60
 #: Documents of about so many neighbouring doc_ids form a block.
 BLOCK_IDS = 1024
 #: So many words at most go to every task; the others reach blocks by a join.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: Bytes of text, and ids to decode, that a task handles at once.
-SLICE_BYTES, DECODED_IDS = 4 << 20, 400_000
+SLICE_BYTES, DECODED_IDS = 2 << 20, 200_000
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -211,6 +211,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int):
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 class _Cutter:
@@ -279,6 +280,8 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     Null and empty texts have no ids; text_hash of null is that of the empty text. Repeated rows each get a row. Texts are taken as they are (no normalisation), a
     space mark comes first. Other columns are ignored.
     """
+    # Texts go to Python in batches of bounded size, however long they are.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     block = F.coalesce(F.floor(F.col("doc_id").cast("bigint") / BLOCK_IDS), F.xxhash64(text))
     rows = docs.select(block.cast("bigint").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -292,7 +295,7 @@ def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     # n: in how many slices a word is; it only decides which words are sent to all tasks.
     counted = table(rows.select("text").mapInArrow(words_of, "word string").groupBy("word").agg(F.count("*").alias("n")), "words")
     found = table(encode_words(counted.select("word"), p), "word-pieces")
-    top = found.join(F.broadcast(_frequent(counted)), "word").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    top = found.join(_frequent(counted), "word").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     sent = docs.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), *_runs(top.column("ids").combine_chunks())) if top.num_rows else (pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3))
 
     def coded(part, cutter):
