@@ -53,11 +53,23 @@ _CLOSED = _WITH + _REACH
 _FULL = _CLOSED + _MUTATIONS
 
 
+#: Conditions of the statements below that keep only some ids, as Fixture.part() does in the queries.
+_PARTS = (" where l_orderkey % 5 = 0", " where node % 97 = 5 and tl = 0", " where c_custkey % 11 = 3", " where id % 53 = 4")
+
+
 def query(sql: str | None = None):
+    """Registers a query; one over a part of the ids also as <name>_whole, over all nodes, trees and lineitem rows."""
+
     def register(function):
         QUERIES[function.__name__] = lambda spark, sf_dir: function(Fixture(spark, sf_dir))
         if sql:
             ORACLE_SQL[function.__name__] = sql
+            whole = sql
+            for condition in _PARTS:
+                whole = whole.replace(condition, "")
+            if whole != sql:
+                QUERIES[f"{function.__name__}_whole"] = lambda spark, sf_dir: function(Fixture(spark, sf_dir, whole=True))
+                ORACLE_SQL[f"{function.__name__}_whole"] = whole
         return function
 
     return register
@@ -83,7 +95,7 @@ def ancestor_closure(f: Fixture) -> DataFrame:
 
 @query(_CLOSED + "select tl as tree_left, node, a as ancestor, depth from reach where node % 97 = 5 and tl = 0")
 def root_path(f: Fixture) -> DataFrame:
-    return f.closure.where("node % 97 = 5 and tree_left = 0")
+    return f.part(f.closure, "node % 97 = 5 and tree_left = 0")
 
 
 @query(_CLOSED + _COUNTS + "select tl as tree_left, node, samples from below where samples > 0")
@@ -106,7 +118,7 @@ select pairs.tl as tree_left, pairs.a, pairs.b, mrca from pairs left join met us
 )
 def mrca_pairs(f: Fixture) -> DataFrame:
     starts = F.broadcast(graph.trees(f.edges).agg(F.collect_list("tree_left").alias("starts")))
-    pairs = f.nodes.where("node_id % 11 = 3").join(starts).select(F.explode("starts").alias("tree_left"), F.col("node_id").alias("a"), (F.floor(F.col("node_id") * 7 / 5).cast("bigint") % f.size).alias("b"))
+    pairs = f.part(f.nodes, "node_id % 11 = 3").join(starts).select(F.explode("starts").alias("tree_left"), F.col("node_id").alias("a"), (F.floor(F.col("node_id") * 7 / 5).cast("bigint") % f.size).alias("b"))
     return graph.mrca(pairs, f.closure, f.nodes)
 
 
@@ -362,7 +374,7 @@ near as (select asked.node, muts.position, arg_min(muts.derived, depth) as state
 
 @query(_FULL + _STATES + "select asked.node, position, coalesce(state, ancestral) as state from asked cross join sites left join near using (node, position) where coalesce(state, ancestral) <> ancestral")
 def extract_haplotypes(f: Fixture) -> DataFrame:
-    asked = f.nodes.where("node_id % 53 = 4").select(F.col("node_id").alias("node"))
+    asked = f.part(f.nodes, "node_id % 53 = 4").select(F.col("node_id").alias("node"))
     return matching.differing_states(asked, f.mutations, f.closure, f.sites)
 
 

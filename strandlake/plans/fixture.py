@@ -19,6 +19,11 @@ class Fixture:
 
     spark: SparkSession
     sf_dir: str
+    #: Whether conditions that keep only some ids are left out.
+    whole: bool = False
+
+    def part(self, rows: DataFrame, condition: str) -> DataFrame:
+        return rows if self.whole else rows.where(condition)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -63,7 +68,7 @@ class Fixture:
 
     @cached_property
     def raw(self) -> DataFrame:
-        rows = self.read("lineitem").where("l_orderkey % 5 = 0")
+        rows = self.part(self.read("lineitem"), "l_orderkey % 5 = 0")
         rows = rows.groupBy((F.col("l_partkey") + 1).alias("position"), (1 + F.col("l_orderkey") % (self.size - 1)).alias("node")).agg(F.min(F.col("l_linenumber") + F.col("l_suppkey")).alias("k"))
         return rows.select("position", "node", F.substr(F.lit("ACGT-"), (F.col("k") % 5 + 1).cast("int"), F.lit(1)).alias("derived_state"))
 
