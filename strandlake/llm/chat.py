@@ -91,7 +91,7 @@ def format_conversations(turns: DataFrame, part_bytes: int = PART_BYTES) -> Data
     sorted_turns = sorted_turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def build(batches):
-        rest, part = None, 0  # turns of the conversation that the last batch did not end; its next part
+        rest, part, long = None, 0, None  # turns of the conversation that the last batch did not end; its next part; the one that was cut
         for b in _with_last(batches):
             t = None if b is None else pa.Table.from_batches([b])
             t = rest if t is None else t if rest is None else pa.concat_tables([rest, t])
@@ -101,6 +101,8 @@ def format_conversations(turns: DataFrame, part_bytes: int = PART_BYTES) -> Data
             ids = t.column("conv_id").combine_chunks()
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             v = ids.fill_null(0).to_numpy()
+            if (known[0], v[0]) != long:  # the one that was cut had ended with its batch
+                part = 0
             new = np.ones(len(v), bool)
             new[1:] = (v[1:] != v[:-1]) | (known[1:] != known[:-1])
             begin = np.flatnonzero(new)
@@ -128,7 +130,7 @@ def format_conversations(turns: DataFrame, part_bytes: int = PART_BYTES) -> Data
             for k, i in enumerate(first.tolist()):
                 number = (part if k == 0 else 0) if i in starts else number + 1
                 parts.append(number)
-            part = 0 if ended else parts[-1] + 1
+            part, long = (0, None) if ended else (parts[-1] + 1, (known[-1], v[-1]))
             spoken = pa.compute.equal(roles.fill_null(""), ASSISTANT).to_numpy(zero_copy_only=False)
             points = _code_points(buffer)
             owner = np.searchsorted(first, np.flatnonzero(spoken), "right") - 1
