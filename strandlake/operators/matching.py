@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +50,44 @@ def retro_window(matches: DataFrame, days: int, cost: float) -> DataFrame:
 
 
 def sample_groups(matches: DataFrame, min_size: int, min_dates: int) -> DataFrame:
-    """Groups of samples with the same match: md5 of the concatenated sorted ids, parent, samples, distinct dates."""
-    groups = matches.groupBy("hmm_cost", "parent").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), "").alias("ids"), F.count("*").alias("samples"), F.countDistinct("match_date").alias("dates"))
-    return groups.where((F.col("samples") >= min_size) & (F.col("dates") >= min_dates)).select(F.md5("ids").alias("group_id"), "parent", "samples", "dates")
+    """Groups of samples with the same match: md5 of the concatenated sorted ids, parent, samples, distinct dates.
+
+    Samples pass in order, so of a group only the running md5, a count and its dates are held.
+    """
+    ordered = matches.select((F.col("hmm_cost") + F.lit(0.0)).alias("hmm_cost"), "parent", "sample_id", "match_date")
+    ordered = ordered.repartition("hmm_cost", "parent").sortWithinPartitions("hmm_cost", "parent", "sample_id")
+    kind = matches.schema["parent"].dataType.simpleString()
+
+    def stream(batches):
+        key, md5, samples, dates, kept, of = None, None, 0, set(), [], None
+
+        def end():
+            if key is not None and samples >= min_size and len(dates) >= min_dates:
+                kept.append((md5.hexdigest(), key[1], samples, len(dates)))
+
+        def out():
+            columns = list(zip(*kept, strict=True))
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), of, pa.int64(), pa.int64()], strict=True)], ["group_id", "parent", "samples", "dates"])
+
+        for b in batches:
+            of = b.schema.field("parent").type
+            for cost, parent, sample, date in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (str(cost), parent):
+                    end()
+                    key, md5, samples, dates = (str(cost), parent), hashlib.md5(), 0, set()
+                samples += 1
+                if sample is not None:
+                    md5.update(sample.encode())
+                if date is not None:
+                    dates.add(date)
+            if kept:
+                yield out()
+        end()
+        if kept:
+            yield out()
+
+    return ordered.mapInArrow(stream, f"group_id string, parent {kind}, samples bigint, dates bigint")
 
 
 def daily_stats(matches: DataFrame, threshold: float = 5.0) -> DataFrame:
