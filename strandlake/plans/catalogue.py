@@ -503,6 +503,45 @@ def missing_deletion_counts(f: Fixture) -> DataFrame:
     return f.sequences.select("doc_id", sq.encode(F.col("letters")).alias("codes")).select("doc_id", sq.count_of(codes, -1).alias("missing"), sq.count_of(codes, sq.DELETION).alias("deletions"))
 
 
+_MASKED = (
+    _LETTERS
+    + """, f as (select doc_id, case when regexp_matches(letters, '^-*$') then repeat('N', length(letters)) else
+repeat('N', length(letters) - length(ltrim(letters, '-'))) || trim(letters, '-') || repeat('N', length(letters) - length(rtrim(letters, '-'))) end as letters from s),
+m as (select doc_id, regexp_replace(letters, '[RYSWKMBDHV.]', 'N', 'g') as letters from f)
+"""
+)
+
+
+def _flank_masked(f: Fixture) -> DataFrame:
+    return f.sequences.select("doc_id", sq.mask_flanks(sq.encode(F.col("letters"))).alias("codes"))
+
+
+@query(_MASKED + "select letter, count(*) as n, count(distinct doc_id) as documents from (select doc_id, unnest(regexp_extract_all(letters, '.')) as letter from f) x group by 1")
+def alignment_composition_masked(f: Fixture) -> DataFrame:
+    """Letters after the flank mask, before the ambiguity mask."""
+    letters = [F.struct(F.lit(a).alias("letter"), sq.count_of(F.col("codes"), code).alias("n")) for code, a in [(-1, "N"), *enumerate(sq.ALLELES)]]
+    counts = _flank_masked(f).select("doc_id", F.explode(F.array(*letters)).alias("c"))
+    return counts.select("doc_id", "c.*").where("n > 0").groupBy("letter").agg(F.sum("n").cast("bigint").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query(_MASKED + "select doc_id, length(letters) - length(replace(letters, 'N', '')) as missing, length(letters) - length(replace(letters, '-', '')) as deletions from m")
+def missing_deletion_counts_masked(f: Fixture) -> DataFrame:
+    """Per sample, after both masks."""
+    masked = _flank_masked(f).select("doc_id", sq.mask_ambiguous(F.col("codes")).alias("codes"))
+    return masked.select("doc_id", sq.count_of(F.col("codes"), -1).alias("missing"), sq.count_of(F.col("codes"), sq.DELETION).alias("deletions"))
+
+
+@query(
+    _MASKED
+    + """select position, count(*) filter (where letter = 'N') as missing, count(*) filter (where letter = '-') as deletions
+from (select unnest(range(1, length(letters) + 1)) as position, unnest(regexp_extract_all(letters, '.')) as letter from m) x where letter in ('N', '-') group by 1"""
+)
+def site_missing_deletion_counts(f: Fixture) -> DataFrame:
+    """Per site that has any, after both masks; counts are summed within each task before they are dealt."""
+    codes = _flank_masked(f).select(F.posexplode(sq.mask_ambiguous(F.col("codes"))).alias("at", "code")).where(F.col("code").isin(-1, sq.DELETION))
+    return codes.groupBy((F.col("at") + 1).cast("bigint").alias("position")).agg(F.count_if(F.col("code") == -1).alias("missing"), F.count_if(F.col("code") == sq.DELETION).alias("deletions"))
+
+
 @query("select cast(ts as date) as day, event_type, count(*) as events, count(distinct user_id) as users, round(sum(value), 4) as total from events group by 1, 2")
 def event_days(f: Fixture) -> DataFrame:
     return f.read("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
