@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import mixing, ngram_join, pieces, pii, toxicity
 from strandlake.llm.shared import table
 
-#: No stage but mixing could be said in SQL; tests compare the stages with brute force.
+#: No stage but mixing could be said in SQL; tests compare the operators, but not these stages, with small cases.
 ORACLE_SQL = None
 
 
