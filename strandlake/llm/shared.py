@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +40,21 @@ def drop(df: DataFrame | None) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of the text column, and at most so many rows; a longer text is a slice of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) // most
+    cuts = np.flatnonzero((np.diff(total) > 0) | (np.arange(1, batch.num_rows) % rows == 0)) + 1 if batch.num_rows else []
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
