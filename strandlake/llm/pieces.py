@@ -10,8 +10,8 @@ lattice, which a fold by Spark's higher-order aggregate turns into one segmentat
   bounds are the bits of one number.
 
 Words are first cut between letters that stand together in no piece, which leaves far fewer distinct ones. Documents are coded by
-word in compressed blocks. The most frequent words (a fixed number) go to every task; the others of a block fetch their pieces by a
-join, and the block's documents are written out from both. Words of more than LONG characters, and those with several space marks
+word in compressed blocks (slices of the table). The most frequent words (a fixed number) go to every task; the others of a block fetch
+their pieces by a join, and the block's documents are written out from both. Words of more than LONG characters, and those with several space marks
 (pieces of equal score), take the same merges in a per-word Python helper.
 """
 
@@ -25,19 +25,20 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import table
+from strandlake.llm.shared import drop, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 60
-#: Documents of about so many neighbouring doc_ids form a block.
-BLOCK_IDS = 1024
+#: Words whose lattices one task folds, about.
+WORDS_A_TASK = 20_000
 #: So many words at most go to every task; the others reach blocks by a join.
 FREQUENT = 100_000
-#: Bytes of text, and ids to decode, that a task handles at once.
+#: Bytes of text (a block), and ids to decode, that a task handles at once.
 SLICE_BYTES, DECODED_IDS = 2 << 20, 200_000
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -193,27 +194,16 @@ def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
     if p.fold != "merge":
         return _viterbi_fold(words, p)
     short = f"length(word) <= {LONG} and not startswith(word, '{SPACE * 2}')"
-    sent = words.sparkSession.sparkContext.broadcast(p)
-
     def long_words(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(w, sent.value) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(w, p) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
-    # Dealt by word before the lattice, whose edges then need no shuffle.
-    found = _merge_fold(words.where(short).select("word").repartition("word"), p)
+    # Dealt by word before the lattice, whose edges then need no shuffle; in as many tasks as its explosion needs, not as its words have bytes.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS_A_TASK))
+    found = _merge_fold(words.where(short).select("word").repartition(tasks, "word"), p)
     return found.unionByName(words.where(f"not ({short})").select("word").mapInArrow(long_words, "word string, ids array<int>"))
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int):
-    """A batch in slices of about so many bytes of text; a longer text is a slice of its own."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) // most
-    cuts = np.flatnonzero(np.diff(total)) + 1
-    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-            pa.default_memory_pool().release_unused()
-
-
 class _Cutter:
     """cut() for many texts at once. Marks of spaces never follow a letter in a piece, so the words of units() part there too."""
 
@@ -277,87 +267,75 @@ def _frequent(counted: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, p: Pieces) -> DataFrame:
     """docs: doc_id (bigint), text. Returns doc_id, ids (array<int>), text_hash (xxhash64 of the text) for every row.
 
-    Null and empty texts have no ids; text_hash of null is that of the empty text. Repeated rows each get a row. Texts are taken as they are (no normalisation), a
-    space mark comes first. Other columns are ignored.
+    Null and empty texts have no ids; text_hash of null is that of the empty text. Repeated rows each get a row, an empty table gives
+    none. Texts are taken as they are (no normalisation), a space mark comes first. Other columns are ignored. docs is read three times
+    and must come in the same order each time, as a stored table does; if it does not, the run fails.
     """
     # Texts go to Python in batches of bounded size, however long they are.
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    block = F.coalesce(F.floor(F.col("doc_id").cast("bigint") / BLOCK_IDS), F.xxhash64(text))
-    rows = docs.select(block.cast("bigint").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def words_of(batches):
         cutter = _Cutter(p)
         for b in batches:
-            for part in _slices(b, 0, SLICE_BYTES):
+            for part in slices(b, 0, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([cutter.parts(part.column(0))[0].unique()], ["word"])
 
     # n: in how many slices a word is; it only decides which words are sent to all tasks.
     counted = table(rows.select("text").mapInArrow(words_of, "word string").groupBy("word").agg(F.count("*").alias("n")), "words")
     found = table(encode_words(counted.select("word"), p), "word-pieces")
     top = found.join(_frequent(counted), "word").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    drop(counted)
     sent = docs.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks(), *_runs(top.column("ids").combine_chunks())) if top.num_rows else (pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3))
 
-    def coded(part, cutter):
-        """Parts of the texts as numbers: places among the frequent words, then among the part's other words; those words; parts of each text."""
-        frequent = sent.value[0]
-        parts, counts = cutter.parts(part.column("text").combine_chunks() if isinstance(part, pa.Table) else part.column(part.schema.get_field_index("text")))
-        met = parts.dictionary_encode()
-        at = pc.fill_null(pc.index_in(met.dictionary, value_set=frequent), -1).to_numpy().astype(np.int64)
-        rare = at < 0
-        at[rare] = len(frequent) + np.arange(rare.sum())
-        return at[met.indices.to_numpy()].astype(np.uint32), met.dictionary.filter(pa.array(rare)), counts
-
-    def by_block(batches):
+    def coded(batches):
+        """Blocks: number, rows, their parts as numbers (places among the frequent words, then among the block's other words), those words, parts of each text."""
+        cutter, frequent = _Cutter(p), sent.value[0]
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            for s in _slices(b, 2, SLICE_BYTES):
-                t = pa.Table.from_batches([s]).sort_by("block")
-                ids = t.column("block").to_numpy()
-                cuts = np.flatnonzero(np.diff(ids)) + 1
-                for a, z in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                    yield int(ids[a]), t.slice(a, z - a)
+            for part in slices(b, 1, SLICE_BYTES):
+                number += 1
+                parts, counts = cutter.parts(part.column(1))
+                met = parts.dictionary_encode()
+                at = pc.fill_null(pc.index_in(met.dictionary, value_set=frequent), -1).to_numpy().astype(np.int64)
+                rare = at < 0
+                at[rare] = len(frequent) + np.arange(rare.sum())
+                yield number, part, at[met.indices.to_numpy()].astype(np.uint32), met.dictionary.filter(pa.array(rare)), counts
 
     def rare_words(batches):
-        cutter = _Cutter(p)
-        for key, part in by_block(batches):
-            rare = coded(part, cutter)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rare), pa.int64()), rare], ["block", "word"])
+        for number, _, _, rare, _ in coded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), number)), pa.array(np.arange(len(rare), dtype=np.int32)), rare], ["block", "place", "word"])
 
     def packed(batches):
-        cutter = _Cutter(p)
-        for key, part in by_block(batches):
-            codes, rare, counts = coded(part, cutter)
+        for number, part, codes, rare, counts in coded(batches):
             planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
-            one = pa.table({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "parts": pa.array(counts, pa.int64())})
+            one = pa.table({"doc_id": part.column(0), "text_hash": part.column(2), "parts": pa.array(counts, pa.int64())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(one.combine_chunks())
-            words = pa.BufferOutputStream()
-            with pa.ipc.new_stream(words, pa.schema([("word", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(pa.table({"word": rare}))
-            cells = [sink.getvalue().to_pybytes(), pa.Codec("zstd").compress(planes, asbytes=True), words.getvalue().to_pybytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([c], pa.binary()) for c in cells), pa.array([len(codes)], pa.int64())], ["block", "rows", "codes", "rare", "n"])
+            cells = [sink.getvalue().to_pybytes(), pa.Codec("zstd").compress(planes, asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in cells), pa.array([len(codes)], pa.int64()), pa.array([len(rare)], pa.int64())], ["block", "rows", "codes", "n", "rare"])
 
-    needed = rows.mapInArrow(rare_words, "block bigint, word string").join(found.hint("shuffle_merge"), "word").select("block", "word", "ids")
+    # A rare word of a block is known by its place there, so that only numbers go back to the block.
+    needed = rows.mapInArrow(rare_words, "block bigint, place int, word string").join(found.hint("shuffle_merge"), "word").select("block", "place", "ids")
 
     def write(key, texts, words):
         _, first, size, flat = sent.value
-        known = words.column("word").combine_chunks() if words.num_rows else pa.array([], pa.string())
+        order = np.argsort(words.column("place").to_numpy())
         own_first, own_size, own = _runs(words.column("ids").combine_chunks()) if words.num_rows else [np.zeros(0, np.int64)] * 3
-        ends = np.concatenate([flat, own]).astype(np.int32)
-        out = []
-        for r in texts.to_pylist():
-            t = pa.ipc.open_stream(r["rows"]).read_all()
-            rare = pa.ipc.open_stream(r["rare"]).read_all().column("word").combine_chunks()
-            at = pc.index_in(rare, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = np.frombuffer(pa.Codec("zstd").decompress(r["codes"], r["n"] * 4), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-            sizes = np.concatenate([size, own_size[at]])
-            ids = _gather(np.concatenate([first, own_first[at] + len(flat)]), sizes, ends, codes)
-            upto = np.append(0, np.append(0, np.cumsum(sizes[codes]))[np.cumsum(t.column("parts").to_numpy())])
-            out.append(pa.table({"doc_id": t.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32())), "text_hash": t.column("text_hash")}))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_hash", pa.int64())]).empty_table()
-
-    sent_rows = rows.mapInArrow(packed, "block bigint, rows binary, codes binary, rare binary, n bigint")
+        r = texts.to_pylist()
+        if len(r) != 1 or r[0]["rare"] != len(order):
+            raise ValueError("the documents came in another order when they were read again")
+        r = r[0]
+        t = pa.ipc.open_stream(r["rows"]).read_all()
+        codes = np.frombuffer(pa.Codec("zstd").decompress(r["codes"], r["n"] * 4), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        sizes = np.concatenate([size, own_size[order]])
+        ids = _gather(np.concatenate([first, own_first[order] + len(flat)]), sizes, np.concatenate([flat, own]).astype(np.int32), codes)
+        upto = np.append(0, np.append(0, np.cumsum(sizes[codes]))[np.cumsum(t.column("parts").to_numpy())])
+        return pa.table({"doc_id": t.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32())), "text_hash": t.column("text_hash")})
+
+    sent_rows = rows.mapInArrow(packed, "block bigint, rows binary, codes binary, n bigint, rare bigint")
     return sent_rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(write, "doc_id bigint, ids array<int>, text_hash bigint")
 
 
