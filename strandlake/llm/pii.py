@@ -182,15 +182,10 @@ def fit(docs: DataFrame) -> dict[str, list[float]]:
     return out
 
 
-def detect(docs: DataFrame, model: dict[str, list[float]] | None = None) -> DataFrame:
-    """docs (text and any columns) with base and spans: arrays of (kind, start, stop), code points, stop exclusive.
-
-    base: spans of the fixed patterns, by kind as listed, then start. spans: these and the added ones, likewise. Null and empty texts
-    have none. Columns of docs named base or spans are replaced.
-    """
+def _found(docs: DataFrame, names: list[str], model: dict[str, list[float]] | None) -> DataFrame:
+    """row (the columns named, as one, so that no name can clash), __text, base, spans."""
     model = fit(docs) if model is None else model
-    names = [c for c in docs.columns if c not in ("base", "spans")]
-    texts = _with_candidates(_with_base(docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))))
+    texts = _with_candidates(_with_base(docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))))
     logit = math.log(ACCEPT / (1 - ACCEPT))
 
     def accepted(s):
@@ -206,21 +201,37 @@ def detect(docs: DataFrame, model: dict[str, list[float]] | None = None) -> Data
     order = F.create_map(*[F.lit(x) for i, k in enumerate(dict.fromkeys([*KINDS, *LOOSE])) for x in (k, i)])
     keyed = F.array_sort(F.transform(F.concat("__base", added), lambda s: F.struct(order[s["kind"]].alias("k"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     spans = F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return texts.select(*names, F.col("__base").alias("base"), F.when(F.size(added) > 0, spans).otherwise(F.col("__base")).alias("spans"))
+    return texts.select("row", "__text", F.col("__base").alias("base"), F.when(F.size(added) > 0, spans).otherwise(F.col("__base")).alias("spans"))
+
+
+def detect(docs: DataFrame, model: dict[str, list[float]] | None = None) -> DataFrame:
+    """docs (text and any columns) with base and spans: arrays of (kind, start, stop), code points, stop exclusive.
+
+    base: spans of the fixed patterns, by kind as listed, then start. spans: these and the added ones, likewise. Null and empty texts
+    have none. Columns of docs named base or spans are replaced; any other names may occur. Repeated rows each get a row with the same
+    spans; an empty table gives an empty result.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    return _found(docs, names, model).select("row.*", "base", "spans")
 
 
 def redacted(docs: DataFrame, model: dict[str, list[float]] | None = None) -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets; spans that overlap become one, named by the first. Columns as in docs."""
-    found = detect(docs, model)
+    """docs with every span of the text replaced by its kind in brackets. Columns as in docs.
+
+    Spans that overlap become one, named by the first (of equal starts: the shorter). Null texts stay null. An empty table gives an empty
+    result; repeated rows stay; other columns, whatever their names, pass as they are.
+    """
+    found = _found(docs, docs.columns, model)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
 
     def put(state, s):
         fresh = s["start"] >= state["at"]
-        kept = F.substr(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        kept = F.substr(F.col("__text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(state["out"]).alias("out"))
 
-    text = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substr(F.col("__text"), s["at"] + 1, F.length("__text"))))
+    clean = F.when(F.size("spans") > 0, text).otherwise(F.col("row").getField("text"))
+    return found.select(*[clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
