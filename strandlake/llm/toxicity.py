@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.shared import fresh
 from strandlake.llm.words import NOT_LETTER, Words, buffers, chunks, word_hash
 
 #: Insults that vote from the start.
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model(voters, number, np.zeros(width), float(np.log(share / (1 - share))))
     x = np.stack([np.frombuffer(bytes(v), np.float32) for v in got["x"]])
     noted = got["toxic"].to_numpy()
-    order = np.lexsort((noted, *x.T[:8]))  # sums then don't depend on the order in which rows came
+    order = np.lexsort((noted, *x.T))  # by all columns: sums then don't depend on the order in which rows came
     x, noted = x[order], noted[order]
     posterior = label_model(x[:, : number + _PATTERNS], noted)
     weights, bias = _linear(x, posterior)
@@ -205,18 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs (text and any columns) with the column score, 0 to 1; of docs' columns those in keep (default: all). Null and empty texts get a score too."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+    """docs (text and any columns) with the column score, 0 to 1; of docs' columns those in keep (default: all).
+
+    Null and empty texts get a score too; repeated rows each get one; an empty table gives an empty result. A column named score is
+    replaced; any other names may occur.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
+    # Plain values: executors need no class of this package.
+    sent = docs.sparkSession.sparkContext.broadcast((model.voters, model.number, model.weights, model.bias))
+    schema, text = docs.select(*keep).schema.add("score", "double"), fresh(docs, "scored_text")
 
     def score(batches):
-        m = sent.value
+        voters, number, weights, bias = sent.value
         for b in batches:
-            got = [1 / (1 + np.exp(-np.clip(f @ m.weights + m.bias, -30, 30))) for f in _features(b.column("__text"), m.voters, m.number)]
+            got = [1 / (1 + np.exp(-np.clip(f @ weights + bias, -30, 30))) for f in _features(b.column(text), voters, number)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(got) if got else np.zeros(0))], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(score, schema)
 
 
 def held_out():
