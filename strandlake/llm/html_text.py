@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages generated to train on; pages sampled for their words; pages handled at a time.
-TRAIN_PAGES, WORD_PAGES, PAGES_AT_ONCE = 600, 64, 256
+#: Pages generated to train on; pages sampled for their words, words taken of them; pages handled at a time.
+TRAIN_PAGES, WORD_PAGES, WORDS, PAGES_AT_ONCE = 600, 64, 20_000, 256
 TREES, DEPTH, BINS, RATE = 120, 3, 32, 0.3
 
 #: Elements by role.
@@ -44,7 +44,8 @@ TOKENS = [
 ]
 _GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags}
 _TOKEN = {word: i for i, words in reversed(list(enumerate(TOKENS))) for word in words}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
+#: Quotes count only after "=", as in browsers; what looks like a tag and never ends goes to the end of the page.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</(?![A-Za-z])[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 FEATURES = len(GROUPS) * 2 + len(TOKENS) * 2 + 15
@@ -351,26 +352,29 @@ def extracted(source: list[str], model: Boosted) -> list[str]:
 
 
 def fit(pages: DataFrame) -> Boosted:
-    """Trees trained on generated pages with the words of at most WORD_PAGES pages, chosen by a hash of page_id."""
-    sample = pages.where("html is not null").orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(WORD_PAGES).select(F.expr("substr(regexp_replace(html, '<[^>]*>', ' '), 1, 20000)").alias("t"))
-    words = [html.unescape(w) for r in sample.collect() for w in r.t.split()]
-    return train(words or ["text"])
+    """Trees trained on generated pages with at most WORDS distinct words of at most WORD_PAGES whole pages, both chosen by a hash."""
+    sample = pages.where("html is not null").orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(WORD_PAGES).select(F.regexp_replace("html", "<[^>]*>", " ").alias("t"))
+    words = sample.select(F.explode(F.split("t", r"\s+")).alias("w")).where("w <> '' and length(w) <= 100").distinct().orderBy(F.xxhash64("w"), "w").limit(WORDS)
+    return train([html.unescape(r.w) for r in words.collect()] or ["text"])
 
 
 def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """pages: page_id, url, html. Returns page_id, url, text, n_chars (code points) for every row.
 
     Null and empty html and pages without article have an empty text. Broken markup is read as browsers mostly do: elements left open
-    end with their parent, a new block ends an open paragraph. Other columns are ignored.
+    end with their parent, a new block ends an open paragraph. Whole pages are read, however long; repeated rows each get a row with the
+    same text; an empty table gives an empty result. Other columns are ignored.
     """
     model = fit(pages) if model is None else model
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: executors need no class of this package.
+    sent = pages.sparkSession.sparkContext.broadcast((model.bias, model.feature, model.cut, model.leaf))
 
     def run(batches):
+        trees = Boosted(*sent.value)
         for b in batches:
             texts = []
             for at in range(0, b.num_rows, PAGES_AT_ONCE):
-                texts += extracted([s or "" for s in b.column("html").slice(at, PAGES_AT_ONCE).to_pylist()], sent.value)
+                texts += extracted([s or "" for s in b.column("html").slice(at, PAGES_AT_ONCE).to_pylist()], trees)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
