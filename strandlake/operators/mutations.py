@@ -1,39 +1,52 @@
-"""Mutations of a graph: inherited states and parents, inheritance counts, reversions."""
+"""Mutations of a graph: inherited states and parents, inheritance counts, reversions.
+
+Mutations are (position, node, derived_state); where a branch has several at one position, time orders them (the oldest first).
+reach is what graph.closure() gives: ancestors of a node along intervals of positions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.graph import with_tree
+from strandlake.operators.ordering import numbered
+from strandlake.plans.lineage import cut, drop
+
+#: Positions whose mutations are numbered together.
+NUMBERED = 64
 
 
 def _nearest(rows: DataFrame, reach: DataFrame, others: DataFrame) -> DataFrame:
-    """rows: position, node, tree_left. Of others (position, node, value) at the same position, the value on the nearest proper ancestor.
+    """rows: position, node. Of others (position, node, value) at the same position, the value on the nearest proper ancestor.
 
-    Rows of one position meet first (few), then their ancestors; the closure is never multiplied by positions.
+    Each row fetches its ancestors, and those meet the others by position and node: mutations of one position never meet each other.
     """
-    met = rows.join(others.select("position", F.col("node").alias("ancestor"), "value"), "position").where("node <> ancestor")
-    met = met.join(reach, ["tree_left", "node", "ancestor"])
+    asked = rows.select("position", "node").distinct()
+    up = asked.join(reach, "node").where("left <= position and position < right").select("position", "node", "ancestor", "depth")
+    met = up.join(others.select("position", F.col("node").alias("ancestor"), "value"), ["position", "ancestor"])
     return met.groupBy("position", "node").agg(F.min_by("value", "depth").alias("value"))
 
 
-def resolved(raw: DataFrame, sites: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """raw: position, node, derived_state, one row of each (position, node). Returns mutation_id, position, node, parent, states.
+def resolved(raw: DataFrame, sites: DataFrame, reach: DataFrame) -> DataFrame:
+    """raw: position, node, derived_state and, if nodes have several at a position, time. Returns mutation_id, position, node, parent, states (and time).
 
-    The inherited state is that of the nearest ancestral mutation, else the site's. Mutations that change nothing are dropped; parent is
-    the nearest one that is left (-1: none). Ids run by position, then node.
+    The inherited state is that of the mutation before on the same branch, else of the youngest on the nearest ancestor that has one,
+    else the site's. Mutations that change nothing are dropped; parent is the nearest one that is left (-1: none). Ids run by position,
+    then node, then from the oldest on.
     """
-    placed = with_tree(raw, edges)
-    above = _nearest(placed, reach, raw.select("position", "node", F.col("derived_state").alias("value")))
-    stated = placed.join(above, ["position", "node"], "left").join(sites.select("position", "ancestral_state"), "position")
-    stated = stated.withColumn("inherited_state", F.coalesce("value", "ancestral_state")).drop("value").where("inherited_state <> derived_state")
-    # Ids in two steps: a running count over positions, then a rank within each.
-    before = stated.groupBy("position").agg(F.count("*").alias("n")).select("position", (F.sum("n").over(Window.orderBy("position")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("position").orderBy("node")) - 1
-    named = stated.join(before, "position").withColumn("mutation_id", F.col("before") + rank)
-    parent = _nearest(named, reach, named.select("position", "node", F.col("mutation_id").alias("value"))).withColumnRenamed("value", "parent")
-    return named.join(parent, ["position", "node"], "left").select("mutation_id", "position", "node", F.coalesce("parent", F.lit(-1)).cast("bigint").alias("parent"), "inherited_state", "derived_state", "tree_left")
+    timed = "time" in raw.columns
+    along = Window.partitionBy("position", "node").orderBy(*([F.desc("time")] if timed else ["derived_state"]))
+    more = ["time"] if timed else []
+    placed = raw.select("position", "node", "derived_state", *more).withColumns({"own": F.lag("derived_state").over(along) if timed else F.lit(None).cast("string")})
+    youngest = lambda value: F.min_by(value, "time") if timed else F.any_value(value)
+    last = raw.groupBy("position", "node").agg(youngest("derived_state").alias("value"))
+    stated = placed.join(_nearest(placed, reach, last), ["position", "node"], "left").join(sites.select("position", "ancestral_state"), "position")
+    stated = stated.withColumn("inherited_state", F.coalesce("own", "value", "ancestral_state")).drop("own", "value", "ancestral_state").where("inherited_state <> derived_state")
+    named = cut(numbered(stated, "mutation_id", F.expr(f"position div {NUMBERED}"), ["position", "node", *([F.desc("time")] if timed else [])]), "named")
+    last = named.groupBy("position", "node").agg(F.max("mutation_id").alias("value"))
+    before = F.lag("mutation_id").over(Window.partitionBy("position", "node").orderBy("mutation_id")) if timed else F.lit(None).cast("bigint")
+    parent = named.withColumn("before", before).join(_nearest(named, reach, last), ["position", "node"], "left")
+    return parent.select("mutation_id", "position", "node", F.coalesce("before", "value", F.lit(-1)).cast("bigint").alias("parent"), "inherited_state", "derived_state", *more)
 
 
 def with_parent(mutations: DataFrame) -> DataFrame:
@@ -43,34 +56,51 @@ def with_parent(mutations: DataFrame) -> DataFrame:
 
 
 def parsimony(mutations: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds node_parent, the parent's columns, is_reversion and is_immediate_reversion."""
-    over = edges.select(F.col("child").alias("node"), F.col("parent").alias("node_parent"), "left", "right")
-    with_node = mutations.join(over, "node", "left").where("left is null or left <= position and position < right").drop("left", "right")
-    full = with_parent(with_node)
-    reversion = F.coalesce(F.col("parent_inherited_state") == F.col("derived_state"), F.lit(False))
-    return full.withColumn("is_reversion", reversion).withColumn("is_immediate_reversion", reversion & F.coalesce(F.col("parent_mutation_node") == F.col("node_parent"), F.lit(False)))
+    """Adds node_parent, the parent's columns (-1 and N without one), is_reversion and is_immediate_reversion."""
+    over = mutations.select("mutation_id", "node", "position").join(edges.select(F.col("child").alias("node"), F.col("parent").alias("node_parent"), "left", "right"), "node")
+    over = over.where("left <= position and position < right").select("mutation_id", "node_parent")
+    full = with_parent(mutations.join(over, "mutation_id", "left"))
+    filled = {"node_parent": -1, "parent_mutation_node": -1, "parent_inherited_state": "N", "parent_derived_state": "N"}
+    full = full.withColumns({c: F.coalesce(c, F.lit(v).cast("bigint") if v == -1 else F.lit(v)) for c, v in filled.items()})
+    reversion = F.col("parent_inherited_state") == F.col("derived_state")
+    return full.withColumn("is_reversion", reversion).withColumn("is_immediate_reversion", reversion & (F.col("parent_mutation_node") == F.col("node_parent")))
 
 
 def inheritance(mutations: DataFrame, counts: DataFrame) -> DataFrame:
-    """counts: tree_left, node, samples. Adds num_descendants (samples at or below) and num_inheritors (without those of child mutations)."""
-    below = mutations.join(counts, ["tree_left", "node"], "left").withColumn("num_descendants", F.coalesce("samples", F.lit(0))).drop("samples")
+    """counts: node, left, right, samples. Adds num_descendants (samples at or below) and num_inheritors (without those of child mutations)."""
+    found = mutations.select("mutation_id", "node", "position").join(counts, "node").where("left <= position and position < right").select("mutation_id", "samples")
+    below = mutations.join(found, "mutation_id", "left").withColumn("num_descendants", F.coalesce("samples", F.lit(0))).drop("samples")
     lost = below.where("parent >= 0").groupBy(F.col("parent").alias("mutation_id")).agg(F.sum("num_descendants").alias("lost"))
     return below.join(lost, "mutation_id", "left").withColumn("num_inheritors", F.col("num_descendants") - F.coalesce("lost", F.lit(0))).drop("lost")
 
 
-def num_parents(mutations: DataFrame, reach: DataFrame) -> DataFrame:
-    """mutation_id, num_parents: mutations at the same position on proper ancestors, which is the length of the chain of parents."""
-    other = mutations.select("position", F.col("node").alias("ancestor"))
-    met = mutations.join(other, "position").where("node <> ancestor").join(reach, ["tree_left", "node", "ancestor"])
-    return mutations.select("mutation_id").join(met.groupBy("mutation_id").agg(F.count("*").alias("n")), "mutation_id", "left").select("mutation_id", F.coalesce("n", F.lit(0)).alias("num_parents"))
+def num_parents(mutations: DataFrame) -> DataFrame:
+    """mutation_id, num_parents: the length of the chain of parents, by pointer doubling; rounds grow with the logarithm of the longest chain."""
+    state = cut(mutations.select("mutation_id", F.expr("nullif(parent, -1)").alias("up"), F.expr("cast(parent >= 0 as bigint)").alias("n")), "chains")
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("mutation_id").alias("up"), F.col("up").alias("next"), F.col("n").alias("more"))
+        grown = state.where("up is not null").join(above, "up").select("mutation_id", F.col("next").alias("up"), (F.col("n") + F.col("more")).alias("n"))
+        new = cut(state.where("up is null").unionByName(grown), "chains")
+        drop(state)
+        state = new
+    return state.select("mutation_id", F.col("n").alias("num_parents"))
 
 
 def root_path_counts(mutations: DataFrame, reach: DataFrame) -> DataFrame:
-    """node_id, num_mutations_on_path: mutations at or above each node, summed over the trees that cover them."""
-    own = mutations.select(F.col("node").alias("node_id"))
-    below = mutations.select("tree_left", F.col("node").alias("ancestor")).groupBy("tree_left", "ancestor").agg(F.count("*").alias("n"))
-    above = reach.join(below, ["tree_left", "ancestor"]).select(F.col("node").alias("node_id"), "n")
-    return own.select("node_id", F.lit(1).cast("bigint").alias("n")).unionByName(above).groupBy("node_id").agg(F.sum("n").alias("num_mutations_on_path"))
+    """node_id, num_mutations_on_path: mutations at or above each node, over all positions.
+
+    An ancestor's mutations within an interval are the difference of two of its running counts, so mutations are never copied to
+    the nodes below them.
+    """
+    ends = reach.select(F.col("ancestor").alias("node"), F.explode(F.array("left", "right")).alias("position")).distinct()
+    here = mutations.groupBy("node", "position").agg(F.count("*").alias("n"))
+    events = here.select("node", "position", "n", F.lit(1).alias("kind")).unionByName(ends.select("node", "position", F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kind")))
+    running = F.sum("n").over(Window.partitionBy("node").orderBy("position", "kind"))
+    upto = events.withColumn("upto", running).where("kind = 0").select(F.col("node").alias("ancestor"), "position", "upto")
+    inside = reach.join(upto.toDF("ancestor", "left", "low"), ["ancestor", "left"]).join(upto.toDF("ancestor", "right", "high"), ["ancestor", "right"])
+    above = inside.groupBy(F.col("node").alias("node_id")).agg(F.sum(F.col("high") - F.col("low")).alias("n"))
+    own = here.groupBy(F.col("node").alias("node_id")).agg(F.sum("n").alias("n"))
+    return own.unionByName(above).groupBy("node_id").agg(F.sum("n").alias("num_mutations_on_path")).where("num_mutations_on_path > 0")
 
 
 def sibling_shared(mutations: DataFrame, edges: DataFrame, length: int) -> DataFrame:

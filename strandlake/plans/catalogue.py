@@ -9,10 +9,13 @@ from strandlake.functions import flags as fl
 from strandlake.functions import sequences as sq
 from strandlake.operators import graph, matching
 from strandlake.operators import mutations as mu
+from strandlake.operators.ordering import numbered
 from strandlake.plans.fixture import Fixture
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: The date of time 0.
+TIME_ZERO = "2023-01-01"
 
 #: The fixture in SQL: constants, nodes, edges, trees, tree edges.
 _GRAPH = """
@@ -38,7 +41,7 @@ below as (select tl, a as node, count(*) as samples from (
 """
 _MUTATIONS = """,
 raw as (select l_partkey + 1 as position, 1 + l_orderkey % ((select n from k) - 1) as node, substr('ACGT-', cast(min(l_linenumber + l_suppkey) % 5 + 1 as integer), 1) as derived
-  from lineitem where l_orderkey % 5 = 0 group by 1, 2),
+  from lineitem group by 1, 2),
 placed as (select raw.*, tl from raw join trees on tl <= position and position < tr),
 above as (select x.position, x.node, arg_min(y.derived, depth) as derived from placed x join raw y on x.position = y.position and x.node <> y.node
   join reach on reach.tl = x.tl and reach.node = x.node and reach.a = y.node group by 1, 2),
@@ -53,23 +56,13 @@ _CLOSED = _WITH + _REACH
 _FULL = _CLOSED + _MUTATIONS
 
 
-#: Conditions of the statements below that keep only some ids, as Fixture.part() does in the queries.
-_PARTS = (" where l_orderkey % 5 = 0", " where node % 97 = 5 and tl = 0", " where c_custkey % 11 = 3", " where id % 53 = 4")
-
-
 def query(sql: str | None = None):
-    """Registers a query; one over a part of the ids also as <name>_whole, over all nodes, trees and lineitem rows."""
+    """Registers a query, and its statement if it has one."""
 
     def register(function):
         QUERIES[function.__name__] = lambda spark, sf_dir: function(Fixture(spark, sf_dir))
         if sql:
             ORACLE_SQL[function.__name__] = sql
-            whole = sql
-            for condition in _PARTS:
-                whole = whole.replace(condition, "")
-            if whole != sql:
-                QUERIES[f"{function.__name__}_whole"] = lambda spark, sf_dir: function(Fixture(spark, sf_dir, whole=True))
-                ORACLE_SQL[f"{function.__name__}_whole"] = whole
         return function
 
     return register
@@ -90,35 +83,37 @@ def tree_edges(f: Fixture) -> DataFrame:
 
 @query(_CLOSED + "select tl as tree_left, count(*) as pairs, max(depth) as deepest, cast(sum(depth) as bigint) as total_depth from reach group by tl")
 def ancestor_closure(f: Fixture) -> DataFrame:
-    return f.closure.groupBy("tree_left").agg(F.count("*").alias("pairs"), F.max("depth").alias("deepest"), F.sum("depth").alias("total_depth"))
+    # Intervals are summed before they are written out for the trees in them.
+    spans = f.closure.groupBy("left", "right").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.sum("depth").alias("total"))
+    return graph.per_tree(spans, f.edges).groupBy("tree_left").agg(F.sum("n").alias("pairs"), F.max("deepest").alias("deepest"), F.sum("total").alias("total_depth"))
 
 
-@query(_CLOSED + "select tl as tree_left, node, a as ancestor, depth from reach where node % 97 = 5 and tl = 0")
+@query(_CLOSED + "select tl as tree_left, node, a as ancestor, depth from reach")
 def root_path(f: Fixture) -> DataFrame:
-    return f.part(f.closure, "node % 97 = 5 and tree_left = 0")
+    return graph.per_tree(f.closure.select("left", "right", "node", "ancestor", "depth"), f.edges)
 
 
 @query(_CLOSED + _COUNTS + "select tl as tree_left, node, samples from below where samples > 0")
 def sample_counts_per_tree(f: Fixture) -> DataFrame:
-    return f.sample_counts
+    return graph.per_tree(f.sample_counts, f.edges).select("tree_left", "node", "samples")
 
 
 @query(_CLOSED + _COUNTS + "select id as node_id, flags & 1 = 1 as is_sample, coalesce(max(samples), 0) as max_descendant_samples from nodes left join below on below.node = nodes.id group by 1, 2")
 def node_data_inheritance(f: Fixture) -> DataFrame:
-    most = graph.max_descendant_samples(f.tree_edges, f.nodes, f.closure)
+    most = graph.max_descendant_samples(f.sample_counts)
     return f.nodes.join(most, "node_id", "left").select("node_id", fl.has(F.col("flags"), fl.SAMPLE).alias("is_sample"), F.coalesce("max_descendant_samples", F.lit(0)).cast("bigint").alias("max_descendant_samples"))
 
 
 @query(
     _CLOSED
-    + """, pairs as (select tl, c_custkey as a, cast(floor(c_custkey * 7 / 5.0) as bigint) % (select n from k) as b from customer cross join trees where c_custkey % 11 = 3),
+    + """, pairs as (select tl, c_custkey as a, cast(floor(c_custkey * 7 / 5.0) as bigint) % (select n from k) as b from customer cross join trees),
 up as (select tl, id as node, id as a from nodes cross join trees union all select tl, node, a from reach),
 met as (select x.tl, x.a, x.b, arg_min(u.a, time) as mrca from pairs x join up u on u.tl = x.tl and u.node = x.a join up v on v.tl = x.tl and v.node = x.b and v.a = u.a join nodes on nodes.id = u.a group by 1, 2, 3)
 select pairs.tl as tree_left, pairs.a, pairs.b, mrca from pairs left join met using (tl, a, b)"""
 )
 def mrca_pairs(f: Fixture) -> DataFrame:
-    starts = F.broadcast(graph.trees(f.edges).agg(F.collect_list("tree_left").alias("starts")))
-    pairs = f.part(f.nodes, "node_id % 11 = 3").join(starts).select(F.explode("starts").alias("tree_left"), F.col("node_id").alias("a"), (F.floor(F.col("node_id") * 7 / 5).cast("bigint") % f.size).alias("b"))
+    pairs = f.nodes.select(F.lit(0).cast("bigint").alias("left"), F.lit(f.length).cast("bigint").alias("right"), F.col("node_id").alias("a"), (F.floor(F.col("node_id") * 7 / 5).cast("bigint") % f.size).alias("b"))
+    pairs = graph.per_tree(pairs, f.edges)
     return graph.mrca(pairs, f.closure, f.nodes)
 
 
@@ -128,7 +123,7 @@ def mrca_pairs(f: Fixture) -> DataFrame:
 select tl as tree_left, node, arg_min(a, depth) as recombinant, min(depth) as distance from up join nodes on nodes.id = a and flags & 8388608 > 0 group by 1, 2"""
 )
 def closest_recombinant(f: Fixture) -> DataFrame:
-    return graph.closest_recombinant(f.tree_edges, f.closure, f.nodes)
+    return graph.closest_recombinant(f.edges, f.closure, f.nodes)
 
 
 @query(_WITH + "select x.c as node, y.c as sibling from edges x join edges y on x.p = y.p cross join k where x.l = 0 and x.r = k.L and y.l = 0 and y.r = k.L")
@@ -148,7 +143,7 @@ def squash_edges(f: Fixture) -> DataFrame:
 
 @query(_WITH + "select l as left, r as right, p as parent, c as child from edges where not (p = 0 and c = 1)")
 def drop_root_edge(f: Fixture) -> DataFrame:
-    return f.edges.where("not (parent = 0 and child = 1)")
+    return graph.without_root_edge(f.edges)
 
 
 @query(_WITH + "select c as child, count(*) as segments, string_agg('(' || l || ':' || r || ', ' || p || ')', ', ' order by l) as path from edges group by c having count(*) > 1")
@@ -169,15 +164,16 @@ def branch_lengths(f: Fixture) -> DataFrame:
 
 @query(
     _FULL
-    + """select nodes.id as node_id, flags & 1 = 1 as is_sample, flags & 8388608 > 0 as is_recombinant, coalesce(m, 0) as num_mutations,
-cast(date '2023-01-01' - cast(time as integer) as date) as date from nodes left join (select node, count(*) as m from muts group by node) x on x.node = nodes.id"""
+    + """select nodes.id as node_id, 'S' || nodes.id as sample_id, n_name as country, c_mktsegment as segment, flags & 1 = 1 as is_sample, flags & 8388608 > 0 as is_recombinant, coalesce(m, 0) as num_mutations,
+cast(date '2023-01-01' - cast(time as integer) as date) as date from nodes join customer on c_custkey = nodes.id join nation on n_nationkey = c_nationkey left join (select node, count(*) as m from muts group by node) x on x.node = nodes.id"""
 )
 def node_data(f: Fixture) -> DataFrame:
     counts = f.mutations.groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("num_mutations"))
-    flags = F.col("flags")
-    return f.nodes.join(counts, "node_id", "left").select(
-        "node_id", fl.has(flags, fl.SAMPLE).alias("is_sample"), fl.has(flags, fl.RECOMBINANT).alias("is_recombinant"), F.coalesce("num_mutations", F.lit(0)).alias("num_mutations"), F.date_sub(F.lit("2023-01-01").cast("date"), F.col("time").cast("int")).alias("date")
-    )
+    flags, metadata = F.col("flags"), f.samples.select("node_id", "country", "segment")
+    return f.nodes.join(metadata, "node_id", "left").join(counts, "node_id", "left").select(
+        "node_id", "sample_id", "country", "segment", fl.has(flags, fl.SAMPLE).alias("is_sample"), fl.has(flags, fl.RECOMBINANT).alias("is_recombinant"),
+        F.coalesce("num_mutations", F.lit(0)).alias("num_mutations"), F.date_sub(F.lit(TIME_ZERO).cast("date"), F.col("time").cast("int")).alias("date"),
+    )
 
 
 @query(
@@ -224,7 +220,7 @@ r as (select p as parent, c as child, coalesce(m, 0) as samples, row_number() ov
 select parent, child, cast(samples as bigint) as samples, rank from r where rank <= 10"""
 )
 def top_children(f: Fixture) -> DataFrame:
-    most = graph.max_descendant_samples(f.tree_edges, f.nodes, f.closure).toDF("child", "samples")
+    most = graph.max_descendant_samples(f.sample_counts).toDF("child", "samples")
     kids = f.edges.select("parent", "child").distinct().join(most, "child", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("samples"), "child")).cast("bigint")
     return kids.select("parent", "child", "samples", rank.alias("rank")).where("rank <= 10")
@@ -233,9 +229,17 @@ def top_children(f: Fixture) -> DataFrame:
 # --- mutations ----------------------------------------------------------------------------------------------------------------
 
 
-@query(_FULL + "select id as mutation_id, position, node, parent, inherited as inherited_state, derived as derived_state from muts")
+@query(
+    _FULL
+    + """, ids as (select position, row_number() over (order by position) - 1 as site_id from sites)
+select muts.id as mutation_id, site_id, muts.position, node, parent, inherited as inherited_state, derived as derived_state, cast(date '2023-01-01' - cast(time as integer) as date) as date
+from muts join ids using (position) join nodes on nodes.id = node"""
+)
 def mutation_data(f: Fixture) -> DataFrame:
-    return f.mutations.drop("tree_left")
+    """A mutation's time is that of its node."""
+    ids = numbered(f.sites, "site_id", F.expr("position div 4096"), ["position"]).select("position", "site_id")
+    time = f.nodes.select(F.col("node_id").alias("node"), F.date_sub(F.lit(TIME_ZERO).cast("date"), F.col("time").cast("int")).alias("date"))
+    return f.mutations.join(ids, "position").join(time, "node").select("mutation_id", "site_id", "position", "node", "parent", "inherited_state", "derived_state", "date")
 
 
 @query(
@@ -258,7 +262,7 @@ _PARSIMONY = """, ps as (select m.*, e.p as node_parent, u.node as parent_mutati
 @query(
     _FULL
     + _PARSIMONY
-    + "select id as mutation_id, node_parent, parent_inherited as parent_inherited_state, parent_mutation_node, is_reversion, is_immediate as is_immediate_reversion from ps"
+    + "select id as mutation_id, coalesce(node_parent, -1) as node_parent, coalesce(parent_inherited, 'N') as parent_inherited_state, coalesce(parent_mutation_node, -1) as parent_mutation_node, is_reversion, is_immediate as is_immediate_reversion from ps"
 )
 def mutation_data_parsimony(f: Fixture) -> DataFrame:
     return mu.parsimony(f.mutations, f.edges).select("mutation_id", "node_parent", "parent_inherited_state", "parent_mutation_node", "is_reversion", "is_immediate_reversion")
@@ -272,7 +276,7 @@ def reversion_counts(f: Fixture) -> DataFrame:
 
 @query(_FULL + ", chain(id, parent, n) as (select id, parent, 0 from muts union all select chain.id, muts.parent, n + 1 from chain join muts on muts.id = chain.parent) select id as mutation_id, cast(max(n) as bigint) as num_parents from chain group by 1")
 def mutation_num_parents(f: Fixture) -> DataFrame:
-    return mu.num_parents(f.mutations, f.closure)
+    return mu.num_parents(f.mutations)
 
 
 @query(
@@ -366,7 +370,7 @@ def gene_annotation(f: Fixture) -> DataFrame:
 
 # --- haplotypes and matching --------------------------------------------------------------------------------------------------
 
-_STATES = """, asked as (select id as node from nodes where id % 53 = 4),
+_STATES = """, asked as (select id as node from nodes),
 up as (select node, tl, a, depth from reach union all select id, tl, id, 0 from nodes cross join trees),
 near as (select asked.node, muts.position, arg_min(muts.derived, depth) as state from asked join up on up.node = asked.node join muts on muts.tl = up.tl and muts.node = up.a group by 1, 2)
 """
@@ -374,13 +378,13 @@ near as (select asked.node, muts.position, arg_min(muts.derived, depth) as state
 
 @query(_FULL + _STATES + "select asked.node, position, coalesce(state, ancestral) as state from asked cross join sites left join near using (node, position) where coalesce(state, ancestral) <> ancestral")
 def extract_haplotypes(f: Fixture) -> DataFrame:
-    asked = f.part(f.nodes, "node_id % 53 = 4").select(F.col("node_id").alias("node"))
+    asked = f.nodes.select(F.col("node_id").alias("node"))
     return matching.differing_states(asked, f.mutations, f.closure, f.sites)
 
 
 @query(
     _FULL
-    + _STATES.replace("id % 53 = 4", "flags & 8388608 > 0 or id in (select p from edges join nodes on id = c where flags & 8388608 > 0)")
+    + _STATES.replace("asked as (select id as node from nodes)", "asked as (select id as node from nodes where flags & 8388608 > 0 or id in (select p from edges join nodes on id = c where flags & 8388608 > 0))")
     + """, st as (select asked.node, position, coalesce(state, ancestral) as state from asked cross join sites left join near using (node, position)),
 two as (select x.c as child, x.p as left_parent, y.p as right_parent, x.r as breakpoint from edges x join edges y on x.c = y.c and x.r = y.l),
 diff as (select child, left_parent, right_parent, breakpoint, a.position from two join st a on a.node = left_parent join (select node as bn, position as bp, state from st) b on bn = right_parent and a.position = bp where a.state <> b.state)
@@ -423,7 +427,7 @@ def retro_window(f: Fixture) -> DataFrame:
 select md5(s) as group_id, p as parent, samples, dates from g where samples >= 3 and dates >= 2"""
 )
 def sample_groups(f: Fixture) -> DataFrame:
-    return matching.sample_groups(f.matches, min_size=3, min_dates=2)
+    return matching.sample_groups(f.matches, min_size=3, min_dates=2).drop("hmm_cost")
 
 
 @query(
@@ -455,10 +459,8 @@ from customer join nation on c_nationkey = n_nationkey join region on n_regionke
 )
 def reorder_samples(f: Fixture) -> DataFrame:
     dated = f.samples.where("date is not null")
-    # Places in two steps: a running count over dates, then a rank within each.
-    before = dated.groupBy("date").agg(F.count("*").alias("n")).select("date", (F.sum("n").over(Window.orderBy("date")) - F.col("n")).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("date").orderBy("country", "node_id"))
-    return dated.join(before, "date").select("sample_id", "country", "region", "segment", "date", place.cast("bigint").alias("place"))
+    placed = numbered(dated, "place", F.unix_date("date"), ["date", "country", "node_id"])
+    return placed.select("sample_id", "country", "region", "segment", "date", (F.col("place") + 1).alias("place"))
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------------------
@@ -480,14 +482,13 @@ def decode_alleles(f: Fixture) -> DataFrame:
 
 @query(_LETTERS + "select doc_id, md5(regexp_replace(letters, '[RYSWKMBDHV.]', 'N', 'g')) as masked_md5 from s")
 def mask_ambiguous(f: Fixture) -> DataFrame:
-    return f.sequences.select("doc_id", F.md5(sq.decode(sq.mask_ambiguous(sq.encode(F.col("letters"))))).alias("masked_md5"))
+    return f.sequences.select("doc_id", F.md5(sq.ambiguous_masked(F.col("letters"))).alias("masked_md5"))
 
 
 @query(_LETTERS + """select doc_id, md5(case when regexp_matches(letters, '^-*$') then repeat('N', length(letters)) else
 repeat('N', length(letters) - length(ltrim(letters, '-'))) || trim(letters, '-') || repeat('N', length(letters) - length(rtrim(letters, '-'))) end) as masked_md5 from s""")
 def mask_flanks(f: Fixture) -> DataFrame:
-    codes = F.col("codes")
-    return f.sequences.select("doc_id", sq.encode(F.col("letters")).alias("codes")).select("doc_id", F.md5(sq.decode(sq.mask_flanks(codes))).alias("masked_md5"))
+    return f.sequences.select("doc_id", F.md5(sq.flanks_masked(F.col("letters"))).alias("masked_md5"))
 
 
 @query(_LETTERS + "select letter, count(*) as n, count(distinct doc_id) as documents from (select doc_id, unnest(regexp_extract_all(letters, '.')) as letter from s) x group by 1")
@@ -499,8 +500,7 @@ def alignment_composition(f: Fixture) -> DataFrame:
 
 @query(_LETTERS + "select doc_id, length(letters) - length(replace(letters, 'N', '')) as missing, length(letters) - length(replace(letters, '-', '')) as deletions from s")
 def missing_deletion_counts(f: Fixture) -> DataFrame:
-    codes = F.col("codes")
-    return f.sequences.select("doc_id", sq.encode(F.col("letters")).alias("codes")).select("doc_id", sq.count_of(codes, -1).alias("missing"), sq.count_of(codes, sq.DELETION).alias("deletions"))
+    return f.sequences.select("doc_id", sq.letters_of(F.col("letters"), "N").alias("missing"), sq.letters_of(F.col("letters"), "-").alias("deletions"))
 
 
 _MASKED = (
@@ -513,13 +513,13 @@ m as (select doc_id, regexp_replace(letters, '[RYSWKMBDHV.]', 'N', 'g') as lette
 
 
 def _flank_masked(f: Fixture) -> DataFrame:
-    return f.sequences.select("doc_id", sq.mask_flanks(sq.encode(F.col("letters"))).alias("codes"))
+    return f.sequences.select("doc_id", sq.flanks_masked(F.col("letters")).alias("letters"))
 
 
 @query(_MASKED + "select letter, count(*) as n, count(distinct doc_id) as documents from (select doc_id, unnest(regexp_extract_all(letters, '.')) as letter from f) x group by 1")
 def alignment_composition_masked(f: Fixture) -> DataFrame:
     """Letters after the flank mask, before the ambiguity mask."""
-    letters = [F.struct(F.lit(a).alias("letter"), sq.count_of(F.col("codes"), code).alias("n")) for code, a in [(-1, "N"), *enumerate(sq.ALLELES)]]
+    letters = [F.struct(F.lit(a).alias("letter"), sq.letters_of(F.col("letters"), a).alias("n")) for a in "N" + sq.ALLELES]
     counts = _flank_masked(f).select("doc_id", F.explode(F.array(*letters)).alias("c"))
     return counts.select("doc_id", "c.*").where("n > 0").groupBy("letter").agg(F.sum("n").cast("bigint").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
@@ -527,8 +527,8 @@ def alignment_composition_masked(f: Fixture) -> DataFrame:
 @query(_MASKED + "select doc_id, length(letters) - length(replace(letters, 'N', '')) as missing, length(letters) - length(replace(letters, '-', '')) as deletions from m")
 def missing_deletion_counts_masked(f: Fixture) -> DataFrame:
     """Per sample, after both masks."""
-    masked = _flank_masked(f).select("doc_id", sq.mask_ambiguous(F.col("codes")).alias("codes"))
-    return masked.select("doc_id", sq.count_of(F.col("codes"), -1).alias("missing"), sq.count_of(F.col("codes"), sq.DELETION).alias("deletions"))
+    masked = _flank_masked(f).select("doc_id", sq.ambiguous_masked(F.col("letters")).alias("letters"))
+    return masked.select("doc_id", sq.letters_of(F.col("letters"), "N").alias("missing"), sq.letters_of(F.col("letters"), "-").alias("deletions"))
 
 
 @query(
@@ -538,7 +538,7 @@ from (select unnest(range(1, length(letters) + 1)) as position, unnest(regexp_ex
 )
 def site_missing_deletion_counts(f: Fixture) -> DataFrame:
     """Per site that has any, after both masks; counts are summed within each task before they are dealt."""
-    codes = _flank_masked(f).select(F.posexplode(sq.mask_ambiguous(F.col("codes"))).alias("at", "code")).where(F.col("code").isin(-1, sq.DELETION))
+    codes = _flank_masked(f).select(F.posexplode(sq.encode(sq.ambiguous_masked(F.col("letters")))).alias("at", "code")).where(F.col("code").isin(-1, sq.DELETION))
     return codes.groupBy((F.col("at") + 1).cast("bigint").alias("position")).agg(F.count_if(F.col("code") == -1).alias("missing"), F.count_if(F.col("code") == sq.DELETION).alias("deletions"))
 
 

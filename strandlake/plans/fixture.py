@@ -19,11 +19,6 @@ class Fixture:
 
     spark: SparkSession
     sf_dir: str
-    #: Whether conditions that keep only some ids are left out.
-    whole: bool = False
-
-    def part(self, rows: DataFrame, condition: str) -> DataFrame:
-        return rows if self.whole else rows.where(condition)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -60,25 +55,24 @@ class Fixture:
 
     @cached_property
     def tree_edges(self) -> DataFrame:
-        return cut(graph.tree_edges(self.edges), "tree-edges")
+        return graph.tree_edges(self.edges)
 
     @cached_property
     def closure(self) -> DataFrame:
-        return graph.closure(self.tree_edges)
+        return graph.closure(self.edges)
 
     @cached_property
     def raw(self) -> DataFrame:
-        rows = self.part(self.read("lineitem"), "l_orderkey % 5 = 0")
-        rows = rows.groupBy((F.col("l_partkey") + 1).alias("position"), (1 + F.col("l_orderkey") % (self.size - 1)).alias("node")).agg(F.min(F.col("l_linenumber") + F.col("l_suppkey")).alias("k"))
+        rows = self.read("lineitem").groupBy((F.col("l_partkey") + 1).alias("position"), (1 + F.col("l_orderkey") % (self.size - 1)).alias("node")).agg(F.min(F.col("l_linenumber") + F.col("l_suppkey")).alias("k"))
         return rows.select("position", "node", F.substr(F.lit("ACGT-"), (F.col("k") % 5 + 1).cast("int"), F.lit(1)).alias("derived_state"))
 
     @cached_property
     def mutations(self) -> DataFrame:
-        return cut(mutations.resolved(self.raw, self.sites, self.edges, self.closure), "mutations")
+        return cut(mutations.resolved(self.raw, self.sites, self.closure), "mutations")
 
     @cached_property
     def sample_counts(self) -> DataFrame:
-        return cut(graph.sample_counts(self.tree_edges, self.nodes, self.closure), "sample-counts")
+        return graph.sample_counts(self.edges, self.nodes)
 
     @cached_property
     def samples(self) -> DataFrame:

@@ -9,12 +9,28 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written once to the cluster's shared folder (spark.checkpoint.dir; its own one where that is unset) and read back."""
+    """df written once to the cluster's shared folder (spark.checkpoint.dir) and read back.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster, where executors share none, it is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a cut() that no later step reads."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)

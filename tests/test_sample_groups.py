@@ -22,7 +22,7 @@ def test_sample_groups_are_streamed(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         found = matching.sample_groups(frame, min_size=2, min_dates=2)
-        assert {tuple(r) for r in found.collect()} == want
+        assert {tuple(r)[:4] for r in found.collect()} == want
         assert "collect_list" not in found._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -1,41 +1,17 @@
-"""Queries over all nodes, trees and lineitem rows, against their SQL and against brute force."""
+"""The fixture holds whole tables, and paths over it equal walks edge by edge."""
 
 import os
 
-import duckdb
 import pyarrow.parquet as pq
-import pytest
 
 from strandlake.plans import catalogue
 from strandlake.plans.fixture import Fixture
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer part orders lineitem".split()
-WHOLE = ["root_path_whole", "mrca_pairs_whole", "extract_haplotypes_whole", "mutation_data_whole", "breakpoint_intervals_whole"]
-
-
-def rows(names, values):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(repr(tuple(r[i] for i in order)) for r in values)
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_equal_to_sql(spark, name):
-    c = duckdb.connect()
-    for t in TABLES:
-        c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
-    got, want = catalogue.QUERIES[name](spark, DIR), c.sql(catalogue.ORACLE_SQL[name])
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
-
-def test_no_whole_query_keeps_a_part():
-    whole = [n for n in catalogue.ORACLE_SQL if n.endswith("_whole")]
-    part = [n for n, sql in catalogue.ORACLE_SQL.items() if any(c in sql for c in catalogue._PARTS)]
-    assert sorted(n.removesuffix("_whole") for n in whole) == sorted(part) and len(part) > 20
 
 
 def test_whole_tables_are_complete(spark):
-    f = Fixture(spark, DIR, whole=True)
+    f = Fixture(spark, DIR)
     size = len(pq.read_table(f"{DIR}/customer.parquet", columns=["c_custkey"]))
     lines = pq.read_table(f"{DIR}/lineitem.parquet", columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]).to_pylist()
     least = {}
@@ -43,7 +19,6 @@ def test_whole_tables_are_complete(spark):
         at, k = (r["l_partkey"] + 1, 1 + r["l_orderkey"] % (size - 1)), r["l_linenumber"] + r["l_suppkey"]
         least[at] = min(k, least.get(at, k))
     assert {(r.position, r.node): r.derived_state for r in f.raw.collect()} == {at: "ACGT-"[k % 5] for at, k in least.items()}
-    # Every node's path in every tree, walked edge by edge.
     edges = [(r.left, r.right, r.parent, r.child) for r in f.edges.collect()]
     starts = sorted({e[0] for e in edges} | {e[1] for e in edges})[:-1]
     want = set()
@@ -54,5 +29,5 @@ def test_whole_tables_are_complete(spark):
             while a is not None:
                 want.add((tl, node, a, depth))
                 a, depth = up.get(a), depth + 1
-    got = {(r.tree_left, r.node, r.ancestor, r.depth) for r in catalogue.QUERIES["root_path_whole"](spark, DIR).collect()}
+    got = {(r.tree_left, r.node, r.ancestor, r.depth) for r in catalogue.QUERIES["root_path"](spark, DIR).collect()}
     assert got == want
