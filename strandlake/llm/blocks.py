@@ -11,15 +11,16 @@ from strandlake.llm.shared import table
 BLOCK_ROWS = 16_384
 
 
-def usable(vectors: DataFrame, allow_zero: bool = True) -> DataFrame:
+def usable(vectors: DataFrame, allow_zero: bool = True, allow_empty: bool = False) -> DataFrame:
     """vec_id, embedding (array<double>) of rows whose id and components are present and finite.
 
-    Rows of null vec_id, of null or empty vectors and of vectors with null, NaN or infinite components are left out (with
-    allow_zero=False, zero vectors too).
+    Rows of null vec_id, of null vectors and of vectors with null, NaN or infinite components are left out, empty ones too unless
+    allow_empty (with allow_zero=False, zero vectors too).
     """
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)))
+    v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
+    v = v if allow_empty else v.where(F.size("embedding") > 0)
     return v if allow_zero else v.where(F.exists("embedding", lambda x: x != 0))
 
 

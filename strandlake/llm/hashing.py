@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Codes are the signs of vectors after a learned rotation (principal axes, then alternating sign assignment and orthogonal
-Procrustes). A code is split into substrings of 8 bits, each with its own table from key to rows. If two codes differ in at most r
-bits, some substring differs in at most r // m bits (m substrings): probing all keys within that distance in every table retrieves
-every code within the radius. Those within r by the whole code are reranked by their floats.
+Codes of BITS bits are the signs of vectors after a learned rotation (principal axes, turned again where there are fewer of them than
+bits, then alternating sign assignment and orthogonal Procrustes). A code is split into substrings of PART bits, each with its own
+table of the keys that occur and their rows. If two codes differ in at most r bits, some substring differs in at most r // m bits (m
+substrings): probing all keys within that distance in every table retrieves every code within the radius. Those within r by the
+whole code, a small share where neighbours stand out, are reranked by their floats.
 
 Inner products become angles by one more component, sqrt(M^2 - |x|^2) for rows and 0 for queries (M: the largest norm).
 The rotation and the radius are learned on at most SAMPLE rows, chosen by a hash of vec_id; every row is indexed.
@@ -23,7 +24,8 @@ from strandlake.llm.shared import table
 SAMPLE, SAMPLE_QUERIES = 8192, 256
 #: Share of a sample's true neighbours that the learned radius holds.
 HELD = 0.97
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Bits of a code, and of a substring.
+BITS, PART = 256, 64
 
 
 @dataclass
@@ -39,9 +41,9 @@ class Coder:
         return np.concatenate([x, more[:, None]], 1)
 
     def codes(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """One byte per substring."""
+        """One number of PART bits per substring."""
         x = x if x.shape[1] + 1 == len(self.rotation) else np.pad(x, ((0, 0), (0, max(0, len(self.rotation) - 1 - x.shape[1]))))[:, : len(self.rotation) - 1]
-        return np.packbits(self._lifted(x, query) @ self.rotation > 0, axis=1)
+        return np.packbits(self._lifted(x, query) @ self.rotation > 0, axis=1).view(np.uint64)
 
 
 def learn(x: np.ndarray, largest: float, k: int, rounds: int = 40) -> Coder:
@@ -50,11 +52,10 @@ def learn(x: np.ndarray, largest: float, k: int, rounds: int = 40) -> Coder:
     largest = largest or 1.0
     coder = Coder(np.zeros(0), np.zeros(0), largest, 0)
     lifted = coder._lifted(x, False)
-    bits = 8 * -(-x.shape[1] // 8)
-    axes = np.linalg.eigh(lifted.T @ lifted)[1][:, ::-1]
-    if axes.shape[1] < bits:
-        axes = np.concatenate([axes, axes @ np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]], 1)[:, :bits]
-    axes = axes[:, :bits]
+    axes = [np.linalg.eigh(lifted.T @ lifted)[1][:, ::-1]]
+    while sum(a.shape[1] for a in axes) < BITS:
+        axes.append(axes[0] @ np.linalg.qr(rng.normal(size=(axes[0].shape[1],) * 2))[0])
+    axes = np.concatenate(axes, 1)[:, :BITS]
     projected = lifted @ axes
     turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
     for _ in range(rounds):
@@ -67,33 +68,36 @@ def learn(x: np.ndarray, largest: float, k: int, rounds: int = 40) -> Coder:
     product[np.arange(n), np.arange(n)] = -np.inf
     near = np.argsort(-product, axis=1)[:, : min(k, max(1, len(x) - 1))]
     a, b = coder.codes(x[:n], True), coder.codes(x, False)
-    far = _ONES[a[:, None, :] ^ b[near]].sum(2)
-    coder.radius = int(np.quantile(far, HELD))
+    far = np.bitwise_count(a[:, None, :] ^ b[near]).sum(2)
+    coder.radius = int(np.quantile(far, HELD)) if far.size else BITS
     return coder
 
 
 class Tables:
-    """The substring tables of a block of codes."""
+    """The substring tables of a block of codes: keys in order, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.m = codes, codes.shape[1]
         self.orders = [np.argsort(codes[:, s], kind="stable").astype(np.int32) for s in range(self.m)]
-        self.counts = [np.bincount(codes[:, s], minlength=256) for s in range(self.m)]
+        self.keys, self.counts = zip(*[np.unique(codes[:, s], return_counts=True) for s in range(self.m)], strict=True)
+        self.probed = self.reranked = 0
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose codes differ from code in at most radius bits."""
         got = np.zeros(len(self.codes), bool)
-        keys = np.arange(256, dtype=np.uint8)
         for s in range(self.m):
-            probed = _ONES[keys ^ code[s]] <= radius // self.m
-            got[self.orders[s][np.repeat(probed, self.counts[s])]] = True
+            near = np.bitwise_count(self.keys[s] ^ code[s]) <= radius // self.m
+            got[self.orders[s][np.repeat(near, self.counts[s])]] = True
         rows = np.flatnonzero(got)
-        return rows[_ONES[self.codes[rows] ^ code].sum(1) <= radius]
+        found = rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
+        self.probed, self.reranked = self.probed + len(rows), self.reranked + len(found)
+        return found
 
 
 def kernel(coder: Coder, k: int):
     def run(qi, q, ci, c):
         tables, asked = Tables(coder.codes(c, False)), coder.codes(q, True)
+        step = tables.m  # one bit more in every substring
         at, ids, scores = [], [], []
         own = np.searchsorted(ci, qi, "right") - np.searchsorted(ci, qi)
         for i in range(len(qi)):
@@ -102,7 +106,7 @@ def kernel(coder: Coder, k: int):
                 found = tables.within(asked[i], radius)
                 if len(found) >= min(k + own[i], len(ci)):
                     break
-                radius += 2
+                radius += step
             found = found[ci[found] != qi[i]]
             score = c[found] @ q[i]
             best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
@@ -115,8 +119,9 @@ def kernel(coder: Coder, k: int):
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The k largest inner products found for each query: query_id, rank, vec_id, score (of the original vectors, in double precision).
 
-    vectors: vec_id, embedding. Null, zero and non-finite vectors take no part; shorter vectors are filled with zeros; rows of a repeated
-    vec_id are one candidate each and one query each. Fewer than k candidates: all. Ties go to the smaller vec_id.
+    vectors: vec_id, embedding. Null, empty, zero and non-finite vectors take no part; shorter vectors are filled with zeros; rows of a repeated
+    vec_id are one candidate each and one query each. Fewer than k candidates: all. Ties go to the smaller vec_id. An empty table gives an
+    empty result; other columns are ignored.
     """
     good = table(usable(vectors, allow_zero=False), "usable")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))

@@ -1,10 +1,11 @@
 """Exact top-k search over integer vectors by an impact-ordered index, score at a time.
 
-Within a block of candidates each dimension has postings for positive and for negative query weights, with impacts (distances from
-the block's least or greatest value) quantised to LEVELS. Segments of equal impact are read in descending impact, a band of them for
-many queries at once, and their quantised impacts, times the query's weights, are added to accumulators. What all unread segments and the quantisation can still add bounds every score
-from above, the accumulators from below; processing stops only when these bounds prove that few candidates can be members, or when
-no segment is left. All possible members, however many, are rescored exactly.
+Within a block of candidates each dimension has postings for positive and for negative query weights: rows ordered by quantised
+impact (the distance from the block's least or greatest value), in segments of equal impact. A query reads segments of all dimensions
+in descending impact times weight and adds them to the accumulators of their rows. A row's unread dimensions can add no more than the
+next unread segment of each, and quantisation no more than one level of each: that bounds every score from above, the accumulators
+from below. Processing stops only when these bounds prove that few candidates can be members, or when no segment is left. All possible
+members, however many, are rescored exactly.
 """
 
 from __future__ import annotations
@@ -15,45 +16,72 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.blocks import leading, search, usable
 
-#: Levels of quantised impact of a dimension; bounds of the bands in which they are read; candidates few enough to stop for.
-LEVELS, BANDS, FEW = 32, (33, 24, 16, 8, 0), 256
-QUERIES_AT_ONCE = 128
+#: Levels of quantised impact of a dimension; parts of the postings after which bounds are looked at; candidates few enough to stop for.
+LEVELS, LOOKS, FEW = 32, 8, 256
+#: Components beyond this are no exact doubles' products any more; such vectors are refused.
+LARGEST = 1 << 24
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """Each component x as floor(scale * x), x as double."""
-    return vectors.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
+    """Each component x as floor(scale * x), x as double; a component beyond LARGEST is an error."""
+    def component(x):
+        scaled = x * F.lit(float(scale))
+        return F.when(F.abs(scaled) > LARGEST, F.raise_error("a component is too large for exact integer scores").cast("double")).otherwise(F.floor(scaled).cast("double"))
+
+    return vectors.withColumn("embedding", F.transform("embedding", component))
 
 
 class Index:
-    """Postings of a block of candidates: matrix of integers, one row each. A band holds the segments of some levels."""
+    """Postings of a block of candidates: matrix of integers, one row each."""
 
     def __init__(self, c: np.ndarray):
         low, high = c.min(0), c.max(0)
-        self.n = len(c)
+        self.n, self.d = c.shape
         self.step = np.maximum(1.0, np.ceil((high - low + 1) / LEVELS))
-        self.up, self.down = np.floor((c - low) / self.step), np.floor((high - c) / self.step)  # for positive and negative weights
-
-    def members(self, q: np.ndarray, k: int):
-        """For each query (a row of q): its number, and the indices of all candidates that can have one of the k best scores, ties included."""
-        weight = np.abs(q)
-        worth = weight * self.step  # of one level
-        sides = [(np.where(q >= 0, worth, 0.0), self.up), (np.where(q < 0, worth, 0.0), self.down)]
-        total = np.zeros((len(q), self.n))
-        active = np.arange(len(q))
-        for high, low in zip(BANDS, BANDS[1:], strict=False):
-            for side, level in sides:
-                total[active] += side[active] @ np.where((level < high) & (level >= low), level, 0.0).T
-            # A posting read is short by less than one level; one unread is below the band.
-            rest = (weight[active] * (max(low, 1) * self.step - 1)).sum(1)
-            bar = np.partition(total[active], self.n - k, axis=1)[:, self.n - k] if self.n > k else np.full(len(active), -np.inf)
-            possible = total[active] + rest[:, None] >= bar[:, None]
-            done = (possible.sum(1) <= max(FEW, 4 * k)) | (low == 0)
-            for i in np.flatnonzero(done):
-                yield active[i], np.flatnonzero(possible[i])
-            active = active[~done]
-            if not len(active):
-                break
+        #: By sign of the weight and dimension: rows by descending level, and where each level's segment begins among them.
+        self.rows, self.begin = np.empty((2, self.d, self.n), np.int64), np.empty((2, self.d, LEVELS + 1), np.int64)
+        for side, distance in enumerate((c - low, high - c)):
+            level = np.floor(distance / self.step).astype(np.int64)
+            for k in range(self.d):
+                self.rows[side, k] = np.argsort(-level[:, k], kind="stable")
+                # begin[v]: rows above level v.
+                self.begin[side, k] = self.n - np.cumsum(np.bincount(level[:, k], minlength=LEVELS + 1))[: LEVELS + 1]
+        self.read = self.whole = 0
+
+    def members(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Indices of all candidates that can have one of the k best scores of the query q, ties included."""
+        side, worth = (q < 0).astype(np.int64), np.abs(q) * self.step  # worth of one level
+        dims = np.flatnonzero(worth > 0)
+        begin = self.begin[side, np.arange(self.d)]
+        # Segments of levels LEVELS - 1 .. 1 of each dimension, by descending worth; level 0 adds nothing.
+        dim, level = np.repeat(dims, LEVELS - 1), np.tile(np.arange(LEVELS - 1, 0, -1), len(dims))
+        size = begin[dim, level - 1] - begin[dim, level]
+        dim, level, size = dim[size > 0], level[size > 0], size[size > 0]
+        value = worth[dim] * level
+        order = np.argsort(-value, kind="stable")
+        dim, level, size, value = dim[order], level[order], size[order], value[order]
+        upto = np.cumsum(size)
+        every = int(upto[-1]) if len(upto) else 0
+        self.whole += every
+        slack = worth.sum()  # what the quantisation of all dimensions hides, at most
+        total, unread = np.zeros(self.n), np.ones((self.n, self.d), np.float32)
+        at = 0
+        while True:
+            to = min(len(size), int(np.searchsorted(upto, (upto[at - 1] if at else 0) + -(-every // LOOKS))) + 1) if len(size) else 0
+            if to > at:
+                rows = np.concatenate([self.rows[side[k], k, begin[k, v] : begin[k, v - 1]] for k, v in zip(dim[at:to], level[at:to], strict=True)])
+                total += np.bincount(rows, np.repeat(value[at:to], size[at:to]), self.n)
+                unread.ravel()[rows * self.d + np.repeat(dim[at:to], size[at:to])] = 0
+            self.read += int(size[at:to].sum())
+            at = to
+            ahead = np.zeros(self.d, np.float32)  # the next unread segment of each dimension
+            np.maximum.at(ahead, dim[at:], np.nextafter(value[at:].astype(np.float32), np.float32(np.inf)))
+            rest = unread @ ahead
+            bar = np.partition(total, self.n - k)[self.n - k] if self.n > k else -np.inf
+            # Sums of single floats are off by less than a thousandth of their size here.
+            possible = np.flatnonzero(total + rest * 1.001 + slack >= bar)
+            if len(possible) <= max(FEW, 4 * k) or at >= len(size):
+                return possible
 
 
 def kernel(k: int):
@@ -61,13 +89,12 @@ def kernel(k: int):
         index = Index(c)
         own = int((np.searchsorted(ci, qi, "right") - np.searchsorted(ci, qi)).max())
         at, ids, scores = [], [], []
-        for first in range(0, len(qi), QUERIES_AT_ONCE):
-            for i, found in index.members(q[first : first + QUERIES_AT_ONCE], k + own):
-                i += first
-                found = found[ci[found] != qi[i]]
-                score = (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
-                best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
-                at.append(np.full(len(best), i)), ids.append(ci[found][best]), scores.append(score[best])
+        for i in range(len(qi)):
+            found = index.members(q[i], k + own)
+            found = found[ci[found] != qi[i]]
+            score = (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
+            best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
+            at.append(np.full(len(best), i)), ids.append(ci[found][best]), scores.append(score[best])
         return np.concatenate(at), np.concatenate(ids), np.concatenate(scores)
 
     return run
@@ -76,7 +103,8 @@ def kernel(k: int):
 def exact_top(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score (bigint); ties to the smaller vec_id.
 
-    vectors: vec_id, embedding. Null and non-finite vectors take no part; shorter vectors are filled with zeros; rows of a repeated
-    vec_id are one candidate each and one query each.
+    vectors: vec_id, embedding. Null vectors and those with null or non-finite components take no part; shorter vectors (empty ones too) are
+    filled with zeros; rows of a repeated vec_id are one candidate each and one query each; an empty table gives an empty result. Scaled
+    components beyond LARGEST are refused. Other columns are ignored.
     """
-    return search(quantised(usable(vectors), scale), is_query, k, kernel(k), "bigint")
+    return search(quantised(usable(vectors, allow_empty=True), scale), is_query, k, kernel(k), "bigint")
