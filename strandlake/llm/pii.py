@@ -2,13 +2,15 @@
 
 Base spans (email, ip, card, phone) are what fixed patterns and checks find; they always stay. Candidates for further spans come from
 looser patterns. Labelers vote on each candidate: patterns of form, gazetteers (endings of domains, cue words of each kind) and
-context (the words before it). Votes are counted by pattern of votes (at most a few hundred patterns), and expectation-maximisation
+context (the words before it). Votes and features are counted by pattern (at most 1024 a kind), and expectation-maximisation
 on these counts estimates each labeler's reliability. Its posteriors train the final span classifier, a logistic regression on the
-votes, which is applied to every candidate as one SQL expression.
+votes and on features of the span and its context, which is applied to every candidate as one SQL expression. Base spans of the same kinds
+are candidates too while reliabilities are estimated; so what the fixed patterns find teaches what the looser ones should accept.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,7 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.-])(?:\(?0[0-9]{1,4}\)?|\([0-9]{3}\)|[0-9]{3}(?=[-.\x20]))[-.\x20/]?[0-9]{3,4}[-.\x20/]?[0-9]{3,5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{20,}+",
 }
 #: Cue words of each kind before a candidate.
 CUES = {
@@ -36,6 +39,7 @@ CUES = {
     "phone": r"(?i)(?:phone|call|tel|tél|fax|mobile|telefon|whatsapp|sms)[^\n]{0,30}$",
     "ssn": r"(?i)(?:ssn|social|security|tax)[^\n]{0,30}$",
     "iban": r"(?i)(?:iban|account|konto|bank|cuenta|compte)[^\n]{0,30}$",
+    "secret": r"(?i)(?:token|secret|passw|pwd|api|key|auth|bearer|credential)[^\n]{0,20}$",
 }
 #: Forms that speak for a candidate, and forms that speak against one.
 FORMS = {
@@ -43,13 +47,24 @@ FORMS = {
     "phone": r"^(?:\(|0)|[-./]",
     "ssn": r"^(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "iban": r"^(?:AD|AE|AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|HU|IE|IT|LU|NL|NO|PL|PT|SE)",
+    "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|gh[pousr]|xox[a-z]|AKIA|AIza)[0-9A-Za-z_-]{16,})$",
+}
+#: Second forms: what the rest of a true span looks like.
+RESTS = {
+    "email": r"^[A-Za-z]",
+    "phone": r"^(?!.*([0-9])\1{4})",
+    "ssn": r"^(?!.*([0-9])\1{3})",
+    "iban": r"[0-9]{4}",
+    "secret": r"^(?!.*[A-Za-z]{9})",
 }
 AGAINST = r"(?i)(?:no\.|nr\.|id|version|page|item|isbn|order|#)\x20?$"
 #: Accepted if the classifier's probability is above this; rounds of estimation; weight of the prior beliefs, in candidates.
 ACCEPT, ROUNDS, BELIEF = 0.8, 50, 20.0
 #: Labelers, with prior beliefs: how often each votes on true and on false candidates.
-VOTERS = {"form": (0.9, 0.3), "cue": (0.5, 0.05), "against": (0.03, 0.3), "typed": (0.9, 0.5)}
+VOTERS = {"form": (0.9, 0.3), "cue": (0.5, 0.05), "against": (0.03, 0.3), "typed": (0.9, 0.5), "rest": (0.95, 0.6), "bounded": (0.9, 0.6)}
 PRIOR = 0.2
+#: What the classifier sees beside the votes: a long span, mostly digits, a quote or bracket before it, an assignment or colon before it.
+FEATURES = ("long", "digits", "quoted", "assigned")
 SPAN = "struct<kind:string,start:int,stop:int>"
 
 
@@ -112,27 +127,42 @@ def _with_base(texts: DataFrame) -> DataFrame:
     return out.withColumn("__base", F.concat(*map(kept, KINDS))).drop(*[f"__{k}" for k in KINDS])
 
 
+def _said(kind: str, s: Column) -> list[Column]:
+    """Votes and features of a span (start, stop, match) as 0 and 1."""
+    text, match = F.col("__text"), s["match"]
+    before = F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(F.lit(40), s["start"]))
+    after = F.substr(text, s["stop"] + 1, F.lit(1))
+    digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
+    size = F.length(match)
+    typed = {"email": size <= 100, "phone": digits.between(9, 13), "ssn": digits == 9, "iban": digits >= 12, "secret": digits * 5 >= size}[kind]
+    said = {
+        "form": match.rlike(FORMS[kind]), "cue": before.rlike(CUES[kind]), "against": before.rlike(AGAINST), "typed": typed, "rest": match.rlike(RESTS[kind]),
+        "bounded": before.rlike(r"(?:^|[\s\"'(\[<{|:;,=])$") & after.rlike(r"^(?:$|[\s\"')\]>}|;,.!?])"),
+        "long": size >= 30, "digits": digits * 2 >= size, "quoted": before.rlike(r"[\"'(\[<{]$"), "assigned": before.rlike(r"[:=]\s*[\"']?$"),
+    }
+    return [said[name].cast("int").alias(name) for name in (*VOTERS, *FEATURES)]
+
+
 def _with_candidates(texts: DataFrame) -> DataFrame:
-    """Adds __more: array of (kind, start, stop, votes of each labeler) that touch no base span. texts: __text, __base and any columns."""
+    """Adds __more: array of (kind, start, stop, votes, features) that touch no base span. texts: __text, __base and any columns."""
     out = texts.withColumns({f"__{k}": F.regexp_extract_all("__text", F.lit(p), F.lit(0)) for k, p in LOOSE.items()})
 
-    def votes(kind, s):
-        before = F.substr(F.col("__text"), F.greatest(s["start"] - 39, F.lit(1)), F.least(F.lit(40), s["start"]))
-        digits = F.length(F.regexp_replace(s["match"], "[^0-9]", ""))
-        typed = {"email": F.length(s["match"]) <= 100, "phone": digits.between(9, 13), "ssn": digits == 9, "iban": digits >= 12}[kind]
-        said = {"form": s["match"].rlike(FORMS[kind]), "cue": before.rlike(CUES[kind]), "against": before.rlike(AGAINST), "typed": typed}
-        return [v.cast("int").alias(k) for k, v in said.items()]
-
     def apart(s):
         return ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
 
     def kept(kind):
         spans = F.filter(_located(F.col("__text"), F.col(f"__{kind}"), LOOSE[kind]), apart)
-        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *votes(kind, s)))
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *_said(kind, s)))
 
     return out.withColumn("__more", F.concat(*map(kept, LOOSE))).drop(*[f"__{k}" for k in LOOSE])
 
 
+def _base_candidates(kind: str) -> Column:
+    """The base spans of a kind, with votes and features."""
+    spans = F.transform(F.filter("__base", lambda b: b["kind"] == kind), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), F.substr(F.col("__text"), b["start"] + 1, b["stop"] - b["start"]).alias("match")))
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *_said(kind, s)))
+
+
 def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> list[float]:
     """counts: (votes, candidates with them) of one kind. Posterior probability of each votes pattern, by expectation-maximisation under prior beliefs."""
     beliefs = list(VOTERS.values())
@@ -155,30 +185,44 @@ def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> list[float]:
     return posterior
 
 
-def classifier(counts: list[tuple[tuple[int, ...], int]], targets: list[float], steps: int = 2000) -> list[float]:
-    """Weights (labelers, then bias) of a logistic regression on vote patterns with soft targets."""
-    w = [0.0] * (len(VOTERS) + 1)
-    total = sum(n for _, n in counts) or 1
+def _believed(votes: tuple[int, ...]) -> float:
+    """How likely the prior beliefs find a pattern of votes."""
+    of = lambda k: math.prod(b[k] if v else 1 - b[k] for v, b in zip(votes, VOTERS.values(), strict=True))
+    return PRIOR * of(0) + (1 - PRIOR) * of(1)
+
+
+def classifier(rows: list[tuple[tuple[int, ...], float]], targets: list[float], steps: int = 600) -> list[float]:
+    """Weights (votes, features, then bias) of a logistic regression on counted patterns with soft targets."""
+    width = len(VOTERS) + len(FEATURES)
+    w = [0.0] * (width + 1)
+    total = sum(n for _, n in rows) or 1
     for _ in range(steps):
         slope = [0.02 * x for x in w[:-1]] + [0.0]
-        for (votes, n), q in zip(counts, targets, strict=True):
-            z = w[-1] + sum(x for x, v in zip(w, votes, strict=False) if v)
+        for (seen, n), q in zip(rows, targets, strict=True):
+            z = w[-1] + sum(x for x, v in zip(w, seen, strict=False) if v)
             miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - q) * n / total
-            for j, v in enumerate((*votes, 1)):
+            for j, v in enumerate((*seen, 1)):
                 slope[j] += miss * v
-        w = [x - 2.0 * g for x, g in zip(w, slope, strict=True)]
+        w = [x - 1.0 * g for x, g in zip(w, slope, strict=True)]
     return w
 
 
 def fit(docs: DataFrame) -> dict[str, list[float]]:
     """The span classifier of each kind, from the votes on all candidates of docs (text)."""
     texts = _with_candidates(_with_base(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))))
-    seen = texts.select(F.explode("__more").alias("c")).select("c.*").groupBy("kind", *VOTERS).agg(F.count("*").alias("n")).collect()
+    every = F.concat("__more", *[_base_candidates(k) for k in KINDS if k in LOOSE])
+    seen = texts.select(F.explode(every).alias("c")).select("c.*").groupBy("kind", *VOTERS, *FEATURES).agg(F.count("*").alias("n")).collect()
     out = {}
     for kind in LOOSE:
-        counts = sorted((tuple(r[v] for v in VOTERS), r.n) for r in seen if r.kind == kind)
-        if counts:
-            out[kind] = classifier(counts, reliabilities(counts))
+        rows = sorted((tuple(r[v] for v in (*VOTERS, *FEATURES)), r.n) for r in seen if r.kind == kind)
+        if rows:
+            votes = dict.fromkeys(itertools.product((0, 1), repeat=len(VOTERS)), 0)
+            for pattern, n in rows:
+                votes[pattern[: len(VOTERS)]] += n
+            posterior = dict(zip(votes, reliabilities(list(votes.items())), strict=True))
+            # Where all candidates are alike, the beliefs say what others would be: a few pseudo-candidates of every votes pattern.
+            believed = [(v + (f,) * len(FEATURES), _believed(v) * BELIEF / 2) for v in votes for f in (0, 1)]
+            out[kind] = classifier(rows + believed, [posterior[pattern[: len(VOTERS)]] for pattern, _ in rows + believed])
     return out
 
 
@@ -192,7 +236,7 @@ def _found(docs: DataFrame, names: list[str], model: dict[str, list[float]] | No
         said = F.lit(False)
         for kind, w in model.items():
             z = F.lit(w[-1])
-            for x, v in zip(w, VOTERS, strict=False):
+            for x, v in zip(w, (*VOTERS, *FEATURES), strict=False):
                 z = z + s[v] * F.lit(x)
             said = F.when(s["kind"] == kind, z > logit).otherwise(said)
         return said
