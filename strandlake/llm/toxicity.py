@@ -23,8 +23,9 @@ from strandlake.llm.words import NOT_LETTER, Words, buffers, chunks, word_hash
 
 #: Insults that vote from the start.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-#: Lengths in bytes of word beginnings that can be voters, beside whole words (None).
-WIDTHS = (None, 4, 5, 6)
+#: Kinds of voters: lengths in bytes of word beginnings (None: whole words), and how often a document must have one for a vote. Beginnings
+#: gather the forms of a word, so that languages of few training rows have voters too.
+KINDS = ((None, 1), (4, 1), (5, 1), (6, 1), (4, 2), (5, 2), (6, 2))
 FIT_ROWS, MAX_VOTERS = 20_000, 256
 TOXIC_AT = 0.7
 _PATTERNS = 3
@@ -52,7 +53,7 @@ def _found(words: Words, voters: list) -> tuple[np.ndarray, np.ndarray]:
     """Rows (from the chunk's first) and voters of all hits."""
     rows, found = [], []
     for k, hashes, numbers, slots in voters:
-        h = _hits(words, WIDTHS[k])
+        h = _hits(words, KINDS[k][0])
         at = np.flatnonzero(slots[(h & np.uint64(_SLOTS - 1)).astype(np.int64)])
         place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
         hit = hashes[place] == h[at]
@@ -64,6 +65,9 @@ def _found(words: Words, voters: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(texts: pa.Array, voters: list, number: int):
     """Of each chunk of rows: votes and summaries, one line per row."""
+    need = np.ones(number, np.float32)
+    for k, _, numbers, _ in voters:
+        need[numbers] = KINDS[k][1]
     data, offsets = buffers(texts)
     for first, last in chunks(offsets):
         words = Words(data, offsets, first, last, NOT_LETTER)
@@ -71,6 +75,7 @@ def _features(texts: pa.Array, voters: list, number: int):
         hits = np.zeros((n, number), np.float32)
         rows, found = _found(words, voters)
         np.add.at(hits, (rows, found), 1)
+        hits[hits < need] = 0
         size = np.diff(words.begin)
         raw = data[offsets[first] : offsets[last]]
         cuts = (offsets[first : last + 1] - offsets[first]).astype(np.int64)
@@ -85,7 +90,7 @@ def _features(texts: pa.Array, voters: list, number: int):
 def _tables(chosen: list[tuple[int, int]]) -> list:
     """chosen: (width index, hash) of each voter, by number."""
     out = []
-    for k in range(len(WIDTHS)):
+    for k in range(len(KINDS)):
         own = sorted((np.int64(h).view(np.uint64), i) for i, (w, h) in enumerate(chosen) if w == k)
         if own:
             hashes = np.array([h for h, _ in own], np.uint64)
@@ -113,12 +118,13 @@ def _mined(training: DataFrame) -> list[tuple[int, int]]:
             keys, kinds, labels = [], [], []
             for first, last in chunks(offsets):
                 words = Words(data, offsets, first, last, NOT_LETTER)
-                for k, width in enumerate(WIDTHS):
+                for k, (width, need) in enumerate(KINDS):
                     h = _hits(words, width)
                     if width is None:
                         h = np.where(words.ends - words.starts >= 3, h, np.uint64(0))
                     for r in range(last - first):
-                        u = np.unique(h[words.begin[r] : words.begin[r + 1]])
+                        u, n = np.unique(h[words.begin[r] : words.begin[r + 1]], return_counts=True)
+                        u = u[n >= need]
                         keys.append(u)
                         kinds.append(np.full(len(u), k, np.int32))
                         labels.append(np.full(len(u), toxic[first + r], np.int32))
@@ -148,15 +154,20 @@ def _grouped(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, noted: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """votes: 0/1 by document and voter; noted: the annotators' 0/1. Posterior probability of the toxic class by document."""
+    """votes: 0/1 by document and voter; noted: the annotators' 0/1. Posterior probability of the toxic class by document.
+
+    A voter that does not fire abstains: it says nothing of the class, as a lexicon of one language says nothing of texts in another.
+    That none fires is a vote of its own, and the annotators' label speaks either way.
+    """
     posterior = np.where(noted > 0, 0.95, 0.05).astype(np.float64)
-    fired = np.concatenate([votes, noted[:, None]], 1).astype(np.float64)
+    silent = votes.sum(1) == 0
+    fired = np.concatenate([votes, silent[:, None], noted[:, None]], 1).astype(np.float64)
     for _ in range(rounds):
-        weight = np.append(_grouped(votes, posterior), 1.0)
+        weight = np.append(_grouped(votes, posterior), [1.0, 1.0])
         p1 = np.clip((fired.T @ posterior + 1) / (posterior.sum() + 2), 1e-3, 1 - 1e-3)
         p0 = np.clip((fired.T @ (1 - posterior) + 0.1) / ((1 - posterior).sum() + 2), 1e-4, 1 - 1e-3)
         prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        logit = np.log(prior / (1 - prior)) + fired @ (weight * (np.log(p1 / p0) - np.log((1 - p1) / (1 - p0)))) + (weight * np.log((1 - p1) / (1 - p0))).sum()
+        logit = np.log(prior / (1 - prior)) + fired @ (weight * np.log(p1 / p0)) + (1 - noted) * np.log((1 - p1[-1]) / (1 - p0[-1]))
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
