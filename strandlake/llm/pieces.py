@@ -37,9 +37,9 @@ LONG = 60
 #: Words whose lattices one task folds, about.
 WORDS_A_TASK = 20_000
 #: So many words at most go to every task; the others reach blocks by a join.
-FREQUENT = 100_000
+FREQUENT = 200_000
 #: Bytes of text (a block), and ids to decode, that a task handles at once.
-SLICE_BYTES, DECODED_IDS = 2 << 20, 200_000
+SLICE_BYTES, DECODED_IDS = 4 << 20, 200_000
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
