@@ -19,6 +19,42 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+ORACLE_SQL["op9_mixing_sources"] = r"""
+with d as (select doc_id, coalesce('s' || source, 'n') as k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+b as (select greatest(16, cast(ceil(count(*) / 20000.0) as bigint)) as buckets from d),
+src as (select k, cast(sum(size) as bigint) as source_size, (row_number() over (order by k = 'n', k) - 1) % 3 as kind from d group by k),
+w as (select *, 2.0::double * source_size as cap, cast([5, 2, 1][kind + 1] as double) as weight, 1.5::double * sum(source_size) over () as words from src),
+l as (select *, cap / weight as full_, (words - coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, k rows between current row and unbounded following) as level from w),
+t as (select k, source_size, kind, least(cap, coalesce(weight * max(case when level <= full_ then level end) over (), cap)) as target from l),
+p as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from t),
+r as (select d.*, source_size, kind, target, passes, cast(round(target) as bigint) - passes * source_size as rest, cast(sum(size) over (partition by k order by h % buckets, h) as bigint) as upto, cast(sum(size) over (partition by k, h) as bigint) as tied from d join p using (k) cross join b),
+x as (select *, passes * size + case when rest - upto + tied >= tied then size when rest - upto + tied <= 0 then 0 else size * (rest - upto + tied) // tied end as taken, least(1.0::double, (upto - tied / 2.0::double) / greatest(target, 1.0::double)) as share, [-0.5::double, 0.0::double, 0.5::double][kind + 1] as slope from r)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(taken as bigint) as taken,
+round(case when taken > 0 then greatest(0.0::double, case when slope = 0 then share else (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope) end) end, 9) as position from x
+"""
+
+_TWO = ", ".join(f"'{x}'" for x in url_filter.TWO_PART)
+_SPLIT = f"""case when array_to_string(string_split(host, '.')[-2:], '.') in ({_TWO}) and host <> array_to_string(string_split(host, '.')[-2:], '.') then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end"""
+_FITS = " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{{{i}}}'" for i, r in sorted(enumerate(url_filter.RULES), key=lambda x: -len(x[1].host + x[1].path)))
+_STRENGTH = "select case when sum(n * power(bad / n - centre, 2)) is null then 2.0 else greatest(2.0, least(200.0, case when sum(n * power(bad / n - centre, 2)) > sum(centre * (1 - centre)) then (sum(n * centre * (1 - centre)) - sum(centre * (1 - centre))) / (sum(n * power(bad / n - centre, 2)) - sum(centre * (1 - centre))) - 1 else 200.0 end)) end::double as k from"
+ORACLE_SQL["op6_url_filters"] = f"""
+with u as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+s as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+known as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by 1),
+o as (select host, bad from (select host, try_cast(regexp_extract(path, '/([0-9]+)[^/0-9]*/?$', 1) as bigint) as doc_id from s where host <> '') x join known using (doc_id)),
+h0 as (select host, {_SPLIT} as suffix, cast(count(*) as double) as n, cast(sum(bad) as double) as bad from o group by 1, 2),
+h as (select *, array_to_string(string_split(host, '.')[case when suffix like '%.%' then -3 else -2 end:], '.') as domain from h0),
+base as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) as m from h),
+s0 as (select suffix, sum(n) as n, sum(bad) as bad, (select m from base) as centre from h group by 1), ks as ({_STRENGTH} s0), s1 as (select suffix, (bad + k * centre) / (n + k) as mean from s0 cross join ks),
+d0 as (select domain, h.suffix, sum(n) as n, sum(bad) as bad, any_value(mean) as centre from h join s1 using (suffix) group by 1, 2), kd as ({_STRENGTH} d0), d1 as (select domain, (bad + k * centre) / (n + k) as mean from d0 cross join kd),
+h1 as (select host, n, bad, mean as centre from h join d1 using (domain)), kh as ({_STRENGTH} h1), h2 as (select host, (bad + k * centre) / (n + k) as mean, n + k as strength from h1 cross join kh),
+a0 as (select distinct host, {_SPLIT} as suffix from s where host <> ''), a1 as (select *, array_to_string(string_split(host, '.')[case when suffix like '%.%' then -3 else -2 end:], '.') as domain from a0),
+a2 as (select a1.host, coalesce(h2.mean, d1.mean, s1.mean, (select m from base)) as m, coalesce(strength, (select k from kh)) as strength from a1 left join h2 on h2.host = a1.host left join d1 on d1.domain = a1.domain left join s1 on s1.suffix = a1.suffix),
+a as (select host, m - 1.645 * sqrt(m * (1 - m) / (strength + 1)) as bound from a2)
+select page_id, host, path, case {_FITS.format(*[r.host + r.path for r in url_filter.RULES])} end as rule,
+coalesce(case {_FITS.format(*[r.verdict for r in url_filter.RULES])} end, case when bound > 0.5 then 'block' else 'allow' end) as verdict, round(bound, 9) as bound from s left join a using (host)
+"""
+
 
 def query(function):
     QUERIES[function.__name__] = function
