@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Pages generated to train on; pages sampled for their words, words taken of them; pages handled at a time.
 TRAIN_PAGES, WORD_PAGES, WORDS, PAGES_AT_ONCE = 600, 64, 20_000, 256
 TREES, DEPTH, BINS, RATE = 120, 3, 32, 0.3
+#: Share of a parent's positive log-odds that its children inherit.
+INHERIT = 0.9
 
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -198,7 +200,7 @@ class Forest:
         odds = np.clip(odds, -6, 6)
         for nodes in self.levels[1:]:
             p = self.parent[nodes]
-            odds[nodes] += 0.6 * np.clip(odds[p], 0, 6) * (self.group[p] != 14)
+            odds[nodes] += INHERIT * np.clip(odds[p], 0, 6) * (self.group[p] != 14)
         weight = np.log1p(self.own) + 0.2
         gain = odds * weight
         keep, drop = gain.copy(), self.up(-gain)
@@ -312,15 +314,16 @@ def _generated(words: list[str], seed: int) -> str:
             return "<ul>" + "".join(f"<li>{article(some(2, 20))}</li>" for _ in range(int(r.integers(1, 5)))) + "</ul>"
         return pick([f"<blockquote>{article(some(5, 40))}.</blockquote>", f"<div>{article(some(3, 60))}.</div>", f"<table><tr><td>{article(some(1, 6))}</td><td>{article(some(1, 6))}</td></tr></table>"])
 
-    blocks = [f"<h1>{article(some(1, 12))}</h1>"] * (r.random() < 0.8)
-    for _ in range(int(r.integers(1, int(pick([3, 8, 30]))))):
-        blocks.append(block())
+    tiny = r.random() < 0.15  # little more than a sentence, often alone on its page
+    blocks = [f"<h1>{article(some(1, 12))}</h1>"] * (r.random() < (0.3 if tiny else 0.8))
+    for _ in range(1 if tiny else int(r.integers(1, int(pick([3, 8, 30]))))):
+        blocks.append(f"<p>{article(some(1, 8))}.</p>" if tiny else block())
         if r.random() < 0.06:
             blocks.append(boilerplate())
     body = box(pick(["article", "article", "main", "div", "section"]), TOKENS[0], "".join(blocks))
     if r.random() < 0.4:
         body = box(pick(["main", "div"]), TOKENS[0], pick(["", boilerplate()]) + body + pick(["", boilerplate()]))
-    before, after = ("".join(boilerplate() for _ in range(int(r.integers(0, 5)))) for _ in range(2))
+    before, after = ("".join(boilerplate() for _ in range(int(r.integers(0, 2 if tiny else 5)))) for _ in range(2))
     return f"<!DOCTYPE html><html><head><title>{some(1, 9)}</title></head><body>{before}{body}{after}" + pick(["", "</body></html>"])
 
 
