@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, hashing, html_text, mixing, ngram_join, pieces, pii, topk, toxicity, url_filter
+from strandlake.llm import bpe, chat, hashing, html_text, mixing, ngram_join, pieces, pii, runs, topk, toxicity, url_filter, variants
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -127,6 +127,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(read(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.load(public_tokenizers.path(bpe.VOCABULARY))
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.words_of(read(spark, sf_dir, "documents"), planted=97)
+    return variants.variant_groups(words.where((F.length("word") >= variants.SHORTEST) & (F.col("n") >= variants.LEAST)))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
