@@ -28,6 +28,21 @@ def _numbered(rows: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     return numbered(rows, "new_node", F.expr(f"`{by}` div {NUMBERED}"), [by]).withColumn("new_node", F.col("new_node") + free)
 
 
+def _followed(mutations: DataFrame, replaced: DataFrame) -> DataFrame:
+    """mutations whose parent was taken away (replaced: gone, target) get the target as parent; targets that are gone themselves are followed.
+
+    Rounds grow with the logarithm of the longest chain of replaced mutations.
+    """
+    jump = cut(replaced.select("gone", "target"), "replaced")
+    while not (far := jump.join(jump.select(F.col("gone").alias("target")), "target", "left_semi")).isEmpty():
+        further = far.join(jump.select(F.col("gone").alias("target"), F.col("target").alias("next")), "target").select("gone", F.col("next").alias("target"))
+        new = cut(jump.join(jump.select(F.col("gone").alias("target")), "target", "left_anti").select("gone", "target").unionByName(further), "replaced")
+        drop(jump)
+        jump = new
+    met = mutations.join(jump.select(F.col("gone").alias("parent"), "target"), "parent", "left")
+    return met.withColumn("parent", F.coalesce("target", "parent")).select(*mutations.columns)
+
+
 def unary_recombinant_pushed(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, length: int) -> DataFrame:
     """mutations in which those on the only full-span child of a recombinant sit on the recombinant itself."""
     marked = nodes.where(fl.has(F.col("flags"), fl.RECOMBINANT)).select(F.col("node_id").alias("parent_node"))
@@ -74,16 +89,17 @@ def reversions_pushed(nodes: DataFrame, edges: DataFrame, mutations: DataFrame,
     """One round of pushing up reversions below nodes whose edge, and whose parent's edge, cover everything (of `attached` (node), or all).
 
     Of a parent's children the one with most reversions of the parent's mutations is taken (ties: the smaller id). Both then hang from a
-    new node halfway up to the grandparent, which takes the parent's other mutations; the child's reversions go. Groups that share an
-    edge exclude each other: of each chain of such groups every other one is taken, from the lowest on.
+    new node halfway up to the grandparent, which takes the parent's other mutations; the child's reversions go, and mutations that had one
+    as parent get that of the reverted mutation. Groups that share an edge exclude each other: of each chain of such groups every other
+    one is taken, from the lowest on.
     """
     full = _full(edges, length).select("parent", "child")
     both = full.join(full.select(F.col("child").alias("parent"), F.col("parent").alias("grand")), "parent")
     if attached is not None:
         both = both.join(attached.select(F.col("node").alias("child")), "child", "left_semi")
     lower = mutations.select(F.col("node").alias("child"), "position", F.col("derived_state").alias("back"), F.col("mutation_id").alias("reversion"))
-    upper = mutations.select(F.col("node").alias("parent"), "position", F.col("inherited_state").alias("back"))
-    found = both.join(lower, "child").join(upper, ["parent", "position", "back"]).select("child", "parent", "grand", "position", "reversion")
+    upper = mutations.select(F.col("node").alias("parent"), "position", F.col("inherited_state").alias("back"), F.col("parent").alias("before"))
+    found = both.join(lower, "child").join(upper, ["parent", "position", "back"]).select("child", "parent", "grand", "position", "reversion", "before")
     best = found.groupBy("parent", "child", "grand").agg(F.count("*").alias("n")).groupBy("parent", "grand").agg(F.min_by("child", F.struct(-F.col("n"), "child")).alias("child"))
     best = cut(best.select("child", "parent", "grand"), "groups")
     time = nodes.select("node_id", "time")
@@ -94,12 +110,13 @@ def reversions_pushed(nodes: DataFrame, edges: DataFrame, mutations: DataFrame,
     span = (F.lit(0).cast("bigint").alias("left"), F.lit(length).cast("bigint").alias("right"))
     hung = made.select(*span, F.explode(F.array(F.struct(F.col("new_node").alias("parent"), F.col("parent").alias("child")), F.struct(F.col("new_node").alias("parent"), "child"), F.struct(F.col("grand").alias("parent"), F.col("new_node").alias("child")))).alias("e"))
     kept_edges = edges.join(gone, "child", "left_anti").select("left", "right", "parent", "child").unionByName(hung.select("left", "right", "e.parent", "e.child"))
-    undone = found.join(made.select("child", "parent"), ["child", "parent"], "left_semi")
+    undone = cut(found.join(made.select("child", "parent"), ["child", "parent"], "left_semi"), "undone")
     stay = undone.select(F.col("parent").alias("node"), "position", F.lit(1).alias("stays")).distinct()
     left = mutations.join(undone.select(F.col("reversion").alias("mutation_id")), "mutation_id", "left_anti").join(stay, ["node", "position"], "left")
     moved = left.join(made.select(F.col("parent").alias("node"), "new_node"), "node", "left").withColumn("node", F.when(F.col("stays").isNull(), F.coalesce("new_node", "node")).otherwise(F.col("node")))
     more = made.select(F.col("new_node").alias("node_id"), F.lit(fl.REVERSION_PUSH).alias("flags"), "time")
-    return nodes.select("node_id", "flags", "time").unionByName(more), kept_edges, moved.select(*mutations.columns)
+    left = _followed(moved.select(*mutations.columns), undone.select(F.col("reversion").alias("gone"), F.col("before").alias("target")))
+    return nodes.select("node_id", "flags", "time").unionByName(more), kept_edges, left
 
 
 def mutations_coalesced(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, length: int, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,7 +124,8 @@ def mutations_coalesced(nodes: DataFrame, edges: DataFrame, mutations: DataFrame
 
     Each node of `chosen` (node; default: all) of a full-span edge proposes its largest overlap with a full-span sibling. Siblings that
     have all of a proposed overlap form its group; a node joins the largest overlap it can (ties: the smallest mutations); groups of
-    one are left alone. Siblings with the same shared mutations stand for each other, so their number is never squared.
+    one are left alone. Siblings with the same shared mutations stand for each other, so their number is never squared. Mutations whose
+    parent was joined get the joined one as parent.
     """
     full = _full(edges, length).select("parent", F.col("child").alias("node"))
     named = F.struct("position", "inherited_state", "derived_state", F.col("parent").alias("above"))
@@ -136,11 +154,14 @@ def mutations_coalesced(nodes: DataFrame, edges: DataFrame, mutations: DataFrame
     span = (F.lit(0).cast("bigint").alias("left"), F.lit(length).cast("bigint").alias("right"))
     hung = made.select(*span, F.col("up").alias("parent"), F.col("new_node").alias("child")).unionByName(under.select(*span, F.col("new_node").alias("parent"), F.col("node").alias("child")))
     kept = edges.join(under.select(F.col("node").alias("child")), "child", "left_anti").select("left", "right", "parent", "child").unionByName(hung)
-    lost = own.join(under.select("node", F.explode("overlap").alias("m")), ["node", "m"]).select("mutation_id")
     free = mutations.agg(F.max("mutation_id")).first()[0]
-    fresh = made.select("new_node", F.explode("overlap").alias("m")).select(F.col("new_node").alias("node"), "m.position", F.col("m.above").alias("parent"), "m.inherited_state", "m.derived_state")
-    fresh = numbered(fresh, "mutation_id", F.expr(f"node div {NUMBERED}"), ["node", "position", "derived_state"]).withColumn("mutation_id", F.col("mutation_id") + ((free if free is not None else -1) + 1))
-    left = mutations.join(lost, "mutation_id", "left_anti").select(*mutations.columns).unionByName(fresh.select(*mutations.columns))
+    fresh = made.select("new_node", F.explode("overlap").alias("m"), F.col("new_node").alias("node")).select("*", "m.position", "m.derived_state")
+    fresh = numbered(fresh, "fresh", F.expr(f"node div {NUMBERED}"), ["node", "position", "derived_state"])
+    fresh = cut(fresh.select("new_node", "m", (F.col("fresh") + ((free if free is not None else -1) + 1)).alias("fresh")), "fresh")
+    lost = cut(own.join(under.select("node", "new_node", F.explode("overlap").alias("m")), ["node", "m"]).join(fresh, ["new_node", "m"]).select("mutation_id", "fresh"), "lost")
+    made_ones = fresh.select(F.col("fresh").alias("mutation_id"), F.col("new_node").alias("node"), "m.position", F.col("m.above").alias("parent"), "m.inherited_state", "m.derived_state")
+    left = mutations.join(lost, "mutation_id", "left_anti").select(*mutations.columns).unionByName(made_ones.select(*mutations.columns))
+    left = _followed(left, lost.select(F.col("mutation_id").alias("gone"), F.col("fresh").alias("target")))
     more = made.select(F.col("new_node").alias("node_id"), F.lit(fl.MUTATION_OVERLAP).alias("flags"), "time")
     return nodes.select("node_id", "flags", "time").unionByName(more), kept, left
 
@@ -176,3 +197,34 @@ def branches_trimmed(edges: DataFrame, mutations: DataFrame, samples: DataFrame,
         further = far.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
         jump = cut(jump.join(keep.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up").unionByName(further), "jump")
     return jump.join(keep, "node", "left_semi").select(F.lit(0).cast("bigint").alias("left"), F.lit(length).cast("bigint").alias("right"), F.col("up").alias("parent"), F.col("node").alias("child"))
+
+
+def _summary(nodes: DataFrame, edges: DataFrame, mutations: DataFrame) -> dict:
+    """nodes, edges, mutations and the shortest time along an edge."""
+    time = nodes.select("node_id", "time")
+    met = edges.select("parent", "child").join(time.toDF("parent", "high"), "parent").join(time.toDF("child", "low"), "child")
+    e = met.agg(F.count("*").alias("n"), F.min(F.col("high") - F.col("low")).alias("least")).first()
+    return {"nodes": nodes.count(), "edges": e.n, "mutations": mutations.count(), "min_edge_time": e.least}
+
+
+def parsimony_fixpoint(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, length: int, coalesce: bool = True, push: bool = True, most: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame, list[dict]]:
+    """Siblings' mutations are joined until no round finds any more, then immediate reversions are pushed up until no round does.
+
+    Returns nodes, edges, mutations and a report: op (noop first, then coalesce_mutations or reversion_push), round, and the counts after
+    it. Each round takes mutations away, so it ends; more than `most` rounds are an error. Only the tables of the last round are kept.
+    """
+    state = (nodes.select("node_id", "flags", "time"), edges.select("left", "right", "parent", "child"), mutations)
+    report = [{"round": 0, "op": "noop", **_summary(*state)}]
+    for op, wanted, step in (("coalesce_mutations", coalesce, mutations_coalesced), ("reversion_push", push, reversions_pushed)):
+        while wanted:
+            new = tuple(cut(t, op) for t in step(*state, length))
+            found = _summary(*new)
+            if found["mutations"] == report[-1]["mutations"]:
+                break
+            if len(report) > most:
+                raise ValueError(f"more than {most} rounds")
+            for t in state:
+                drop(t)
+            state = new
+            report.append({"round": len(report), "op": op, **found})
+    return *state, report

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written once to the cluster's shared folder (spark.checkpoint.dir) and read back.
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """df written once to the cluster's shared folder (spark.checkpoint.dir) and read back; filters on column `by` then choose files.
 
     Where that is unset, a session on one machine gets a temporary folder; on a cluster, where executors share none, it is an error.
     """
@@ -21,7 +21,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -61,3 +61,47 @@ def test_markers_and_trim(spark):
     samples = spark.createDataFrame([(i,) for i in range(4)], "node bigint")
     trimmed = rewrites.branches_trimmed(edges, resolved(spark, edges, [(1, 5, "T")]), samples, 10)
     assert {(r.child, r.parent) for r in trimmed.collect()} == {(0, 6), (1, 5), (2, 5), (3, 5), (5, 6)}
+
+
+def parents_by_place(muts):
+    """(position, node) of each mutation to that of its parent, whatever the ids."""
+    rows = muts.collect()
+    at = {r.mutation_id: (r.position, r.node) for r in rows}
+    assert all(r.parent == -1 or r.parent in at for r in rows), "a parent that is gone"
+    return {(r.position, r.node): at.get(r.parent) for r in rows}
+
+
+def test_parents_follow_what_is_taken_away(spark):
+    """Chains of reversions above each other: parents equal those found anew on the rewritten graph."""
+    chain = [(9, 0), (9, 1), (10, 2), (10, 9), (11, 3), (11, 10), (12, 4), (12, 11), (13, 5), (13, 12), (14, 6), (14, 13)]
+    nodes, edges = tree(spark, chain, {0, 1, 2, 3, 4, 5, 6})
+    states = {1: [(13, "T"), (12, "A"), (11, "T"), (10, "A"), (9, "T"), (0, "G"), (1, "C")], 2: [(13, "G"), (11, "A"), (9, "G"), (0, "A")], 3: [(12, "T"), (9, "A"), (1, "T")]}
+    muts = resolved(spark, edges, [(p, u, s) for p, rows in states.items() for u, s in rows])
+    for _ in range(3):
+        before = {tuple(r) for r in matching.differing_states(nodes.selectExpr("node_id as node").where("node < 7"), muts, graph.closure(edges), sites_of(spark)).collect()}
+        nodes, edges, muts = rewrites.reversions_pushed(nodes, edges, muts, 10)
+        after = {tuple(r) for r in matching.differing_states(nodes.selectExpr("node_id as node").where("node < 7"), muts, graph.closure(edges), sites_of(spark)).collect()}
+        again = mutations.resolved(muts.select("position", "node", "derived_state"), sites_of(spark), graph.closure(edges))
+        assert before == after and parents_by_place(muts) == parents_by_place(again)
+
+
+def test_fixpoint(spark):
+    """Rounds end, no mutation is gained, leaves keep their states, parents are right, and another run changes nothing."""
+    import random
+
+    rng = random.Random(3)
+    pairs = [(p, c) for c, p in ((c, 12 + c // 3) for c in range(12))] + [(16 + (c - 12) // 2, c) for c in range(12, 16)] + [(18, 16), (18, 17)]
+    nodes, edges = tree(spark, pairs, set(range(12)))
+    raw = sorted({(p, u): (p, u, rng.choice("ACGT")) for p in range(1, 8) for u in range(18) if rng.random() < 0.5}.values())
+    muts = resolved(spark, edges, raw)
+    asked = spark.createDataFrame([(i,) for i in range(12)], "node bigint")
+    carried_by = lambda e, m: {tuple(r) for r in matching.differing_states(asked, m, graph.closure(e), sites_of(spark)).collect()}
+    n, e, m, report = rewrites.parsimony_fixpoint(nodes, edges, muts, 10)
+    assert [r["op"] for r in report][0] == "noop" and len(report) > 2 and carried_by(e, m) == carried_by(edges, muts)
+    assert all(a["mutations"] > b["mutations"] and a["nodes"] < b["nodes"] for a, b in zip(report, report[1:], strict=False))
+    assert report[-1]["mutations"] == m.count() and report[-1]["min_edge_time"] > 0
+    again = mutations.resolved(m.select("position", "node", "derived_state"), sites_of(spark), graph.closure(e))
+    assert parents_by_place(m) == parents_by_place(again)
+    # Joining is done before pushing; pushing alone finds no more.
+    assert len(rewrites.parsimony_fixpoint(n, e, m, 10, coalesce=False)[3]) == 1
+    assert len(rewrites.parsimony_fixpoint(nodes, edges, muts, 10, coalesce=False, push=False)[3]) == 1
