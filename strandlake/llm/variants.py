@@ -13,6 +13,7 @@ node is visited once for all queries that get there.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.shared import drop, table
-from strandlake.llm.words import mix
+from strandlake.llm.words import Words, buffers, chunks, mix
 
 #: Words that a part of a cell holds, levels at which the trie may be cut, words at which a node is a leaf.
 MEMBERS, LEVELS, LEAF = 20_000, (3, 8), 12
@@ -33,7 +34,12 @@ BATCH, PAIR_BYTES = 20_000, 32 << 20
 #: A word counts from so many code points and occurrences on; its form occurs at least so many times as often.
 SHORTEST, LEAST, TIMES = 5, 3, 2
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text whose words are counted together, distinct words that a task holds, bytes of a word beyond which it is hashed alone.
+CHUNK_BYTES, COUNTED, LONG = 4 << 20, 300_000, 48
+
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(65, 91), *range(97, 123)]] = True
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
 _LEVELS = np.array([*(ord(c) % GROUPS for c in ORDER), *sorted(set(range(GROUPS)) - {ord(c) % GROUPS for c in ORDER})])
 
 
@@ -41,18 +47,75 @@ def words_of(docs: DataFrame, planted: int | None = None) -> DataFrame:
     """docs: doc_id, text. word, n: maximal runs of letters (A-Z, a-z, U+00C0 to U+00FF), A-Z lower-cased, and how often they occur.
 
     planted: where crc32 of "doc_id:word" is divisible by this number, the code point at that crc32 modulo the length is deleted first (not
-    where doc_id is null). Null and empty texts have no words; repeated rows count again; other columns are ignored.
+    where doc_id is null). Null and empty texts have no words; repeated rows count again; other columns are ignored. Tasks count their own
+    words (told apart by 64-bit hashes within a chunk of text) and send each once per COUNTED distinct ones.
     """
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("run"))
-    ascii_ = F.length("run") == F.octet_length("run")
-    rows = runs.select("doc_id", F.when(ascii_, F.lower("run")).otherwise(F.translate("run", _UPPER, _LOWER)).alias("word"))
+
+    def count(batches):
+        counts: dict[bytes, int] = {}
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            data, offsets = buffers(b.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                _counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], planted, counts)
+                if len(counts) >= COUNTED:
+                    yield _counts(counts)
+                    counts.clear()
+        yield _counts(counts)
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counts(counts: dict[bytes, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray, ids: list, planted: int | None, counts: dict[bytes, int]) -> None:
+    """Adds the words of rows between offsets to counts."""
+    # Letters beyond ASCII are the byte C3 and one more.
+    lead = data == 0xC3
+    letter = _ASCII[data] | lead
+    letter[1:] |= lead[:-1]
+    w = Words(data, offsets, 0, len(offsets) - 1, letter=letter)
+    if not len(w.starts):
+        return
+    size = w.ends - w.starts
+    plain = np.ones(len(size), bool)
+    raw = w.data.tobytes()
     if planted:
-        h = F.crc32(F.encode(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")), "UTF-8"))
-        rows = rows.select("word", h.alias("h"))
-        at = (F.col("h") % F.length("word")).cast("int")
-        shorter = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
-        rows = rows.select(F.when(F.col("h") % planted == 0, shorter).otherwise(F.col("word")).alias("word"))
-    return rows.groupBy("word").agg(F.count("*").alias("n"))
+        known = np.array([i is not None for i in ids])
+        begun = np.array([zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
+        row = np.repeat(np.arange(len(ids)), np.diff(w.begin))
+        h = _crc32(w.data, w.starts, size, begun[row])
+        for k in np.flatnonzero((h % planted == 0) & known[row]).tolist():
+            word = raw[w.starts[k] : w.ends[k]].decode()
+            at = int(h[k]) % len(word)
+            shorter = (word[:at] + word[at + 1 :]).encode()
+            counts[shorter] = counts.get(shorter, 0) + 1
+            plain[k] = False
+    at = np.flatnonzero(plain)
+    _, first, n = np.unique(w.hashes()[at], return_index=True, return_counts=True)
+    at = at[first]
+    for a, z, k in zip(w.starts[at].tolist(), w.ends[at].tolist(), n.tolist(), strict=True):
+        word = raw[a:z]
+        counts[word] = counts.get(word, 0) + k
+
+
+def _crc32(data: np.ndarray, starts: np.ndarray, size: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """CRC-32 of each word, going on from what has begun; one byte of all words at a time, long words one by one."""
+    state = ~begun
+    open_ = np.flatnonzero(size <= LONG)
+    for k in range(LONG):
+        open_ = open_[size[open_] > k]
+        if not len(open_):
+            break
+        s = state[open_]
+        state[open_] = _CRC[(s ^ data[starts[open_] + k]) & 0xFF] ^ (s >> 8)
+    out = ~state
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = zlib.crc32(data[starts[k] : starts[k] + size[k]].tobytes(), int(begun[k]))
+    return out
 
 
 def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -61,13 +61,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of rows first..last-1: bounds in the bytes, and the row of each."""
+    """Words of rows first..last-1: bounds in the bytes, and the row of each. letter, if given, marks the bytes of words, else `between` those that are none."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, between: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, between: np.ndarray = SPACE, letter: np.ndarray | None = None):
         lo, hi = offsets[first], offsets[last]
         self.first, self.last = first, last
         self.data = LOWER[data[lo:hi]]
-        gap = between[self.data]
+        gap = between[self.data] if letter is None else ~letter[lo:hi]
         edge = np.zeros(len(gap) + 1, bool)
         edge[offsets[first : last + 1] - lo] = True
         word = ~gap
