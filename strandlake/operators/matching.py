@@ -187,3 +187,32 @@ def copying_table(edges: DataFrame, mutations: DataFrame, reach: DataFrame, site
     wide = met.groupBy("child", "breakpoint", "position").agg(state("child").alias("c"), state("left").alias("l"), state("right").alias("r")).join(sites, "position")
     full = wide.select("child", "breakpoint", "position", *[F.coalesce(c, "ancestral_state").alias(name) for c, name in (("c", "child_state"), ("l", "left_state"), ("r", "right_state"))])
     return full.where("child_state <> left_state or child_state <> right_state or left_state <> right_state").withColumn("copied", F.when(F.col("position") < F.col("breakpoint"), "left").otherwise("right"))
+
+
+def segment_at(points: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
+    """points: by, position. segments: by, left, right, parent; those of one key don't overlap. points with the parent of the segment that covers each (null: none).
+
+    An as-of join: points and starts of segments are sorted together, and the last start before a point is carried to it.
+    """
+    starts = segments.select(*by, F.col("left").alias("position"), F.struct("right", "parent").alias("start"), F.lit(0).alias("kind"))
+    both = points.withColumn("start", F.lit(None).cast(starts.schema["start"].dataType)).withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    carried = F.last("start", ignorenulls=True).over(Window.partitionBy(*by).orderBy("position", "kind"))
+    met = both.withColumn("start", carried).where("kind = 1")
+    return met.select(*points.columns, F.when(F.col("position") < F.col("start.right"), F.col("start.parent")).alias("parent"))
+
+
+def translated_paths(paths: DataFrame, coordinates: DataFrame, mirror: bool = False) -> DataFrame:
+    """paths: by columns of any name, left, right (numbers of sites), parent. The same in positions: a piecewise map.
+
+    coordinates: index, position of every site, and of the index after the last site the sequence's length. The first site's segment begins at
+    position 0. mirror: the paths and coordinates run from the other end, and positions are turned back. An index outside the map is an error.
+    """
+    known = coordinates.select("index", "position")
+    at = lambda name: known.select(F.col("index").alias(name), F.when(F.col(name) == 0, 0).otherwise(F.col("position")).cast("bigint").alias(f"{name}_at"))
+    met = paths.join(at("left"), "left", "left").join(at("right"), "right", "left")
+    inside = lambda c: F.coalesce(c, F.raise_error(F.lit("a path beyond the coordinates")).cast("bigint"))
+    left, right = inside(F.col("left_at")), inside(F.col("right_at"))
+    if mirror:
+        length = F.broadcast(known.agg(F.max("position").alias("length")))  # one row
+        met, left, right = met.join(length), F.col("length") - right, F.col("length") - left
+    return met.select(*[left.alias("left") if c == "left" else right.alias("right") if c == "right" else F.col(c) for c in paths.columns])
