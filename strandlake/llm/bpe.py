@@ -5,7 +5,8 @@ that neighbouring symbols allow, by rank and then from the left. The best is tak
 merged away or has changed since; otherwise the two symbols become one, and the new neighbours enter the queue. Decoding concatenates the
 strings of the vocabulary and turns their letters back into bytes.
 
-Each task keeps the ids of words it has met (up to CACHED of them), so that a text costs about one lookup per word. Nothing is shuffled.
+Each worker keeps the ids of the words it has met lately (up to CACHED of them), so that a text costs about one lookup per word. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import heapq
 import json
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.shared import slices
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a task keeps (all are forgotten when there are more), and the longest that it keeps, in bytes.
-CACHED, LONGEST_CACHED = 200_000, 64
+#: Words whose ids a worker keeps (those not met for the longest time are forgotten first), and the longest that it keeps, in bytes.
+CACHED, LONGEST_CACHED = 600_000, 64
 #: Bytes of text that a task handles at once, unless one text has more.
 SLICE_BYTES = 2 << 20
 #: How the byte-level pre-tokeniser cuts texts (a fixed value of the format).
@@ -33,13 +35,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """byte_ids: the id of each byte. merges: (left id << 32 | right id) to (rank, id of both). strings: bytes of each id. added: strings that are ids of their own."""
+    """byte_ids: the id of each byte. merges: for each left id, right id to (rank, id of both). strings: bytes of each id. added: strings that are ids of their own."""
 
     byte_ids: tuple
-    merges: dict
+    merges: tuple
     strings: tuple
     added: dict
 
+    @cached_property
+    def known(self) -> tuple[dict, dict]:
+        """Words met by this copy of the vocabulary, lately and before; a worker's tasks share it. It never travels."""
+        return {}, {}
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it can be seen, else the next free letter from U+0100 on."""
@@ -64,37 +71,50 @@ def load(path: str) -> Vocabulary:
         strings[i] = b"".join(byte_of[c] for c in s)
     for s, i in added.items():
         strings[i] = s.encode()
-    merges = {}
+    merges: list[dict] = [{} for _ in strings]
     for rank, pair in enumerate(model["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
-    return Vocabulary(tuple(ids[c] for c in letters), merges, tuple(strings), added)
+        merges[ids[a]][ids[b]] = (rank, ids[a + b])
+    return Vocabulary(tuple(ids[c] for c in letters), tuple(merges), tuple(strings), added)
 
 
 def merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """The ids of one word."""
-    merges = vocabulary.merges
+    """The ids of one word. An entry of the queue is rank and place in one number; rank[i] is that of the pair that begins at i now."""
+    follow = vocabulary.merges
     ids = [vocabulary.byte_ids[b] for b in word]
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = []
-    for i in range(n - 1):
-        if m := merges.get(ids[i] << 32 | ids[i + 1]):
-            queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
+    found = [follow[a].get(b) for a, b in zip(ids, ids[1:])]  # noqa: B905
+    queue = [m[0] << 32 | i for i, m in enumerate(found) if m]
+    if not queue:
+        return ids
     heapq.heapify(queue)
+    push, pop = heapq.heappush, heapq.heappop
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = [m[0] if m else -1 for m in found]
+    into = [m[1] if m else -1 for m in found]
+    rank.append(-1)
     while queue:
-        _, i, a, b, both = heapq.heappop(queue)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:  # stale (merged symbols have id -1)
+        entry = pop(queue)
+        i = entry & 0xFFFFFFFF
+        if rank[i] != entry >> 32:  # stale: the symbol at i, or the next one, has changed since, or is gone
             continue
-        ids[i], ids[j] = both, -1
+        j = after[i]
+        both = ids[i] = into[i]
+        ids[j] = rank[j] = -1
         k = after[i] = after[j]
+        rank[i] = -1
         if k < n:
             before[k] = i
-            if m := merges.get(both << 32 | ids[k]):
-                heapq.heappush(queue, (m[0], i, both, ids[k], m[1]))
-        if (h := before[i]) >= 0 and (m := merges.get(ids[h] << 32 | both)):
-            heapq.heappush(queue, (m[0], h, ids[h], both, m[1]))
+            if m := follow[both].get(ids[k]):
+                rank[i], into[i] = m
+                push(queue, m[0] << 32 | i)
+        h = before[i]
+        if h >= 0:
+            if m := follow[ids[h]].get(both):
+                rank[h], into[h] = m
+                push(queue, m[0] << 32 | h)
+            else:
+                rank[h] = -1
     return [i for i in ids if i >= 0]
 
 
@@ -104,21 +124,27 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import regex
 
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known = vocabulary, vocabulary.known
         self.words = regex.compile(PATTERN).findall
         self.added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
 
     def _new(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = np.array(merged(raw, self.vocabulary), "<u4").tobytes()
-        if len(raw) <= LONGEST_CACHED:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[word] = ids
+        young, old = self.known
+        ids = old.get(word)
+        if ids is None:
+            raw = word.encode()
+            ids = np.array(merged(raw, self.vocabulary), "<u4").tobytes()
+            if len(raw) > LONGEST_CACHED:
+                return ids
+        if len(young) >= CACHED // 2:
+            old.clear()
+            old.update(young)
+            young.clear()
+        young[word] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        get, new = self.known.get, self._new
+        get, new = self.known[0].get, self._new
         return b"".join([get(w) or new(w) for w in self.words(text)])
 
     def __call__(self, text: str) -> bytes:
