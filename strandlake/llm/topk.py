@@ -1,11 +1,11 @@
 """Exact top-k search over integer vectors by an impact-ordered index, score at a time.
 
-Within a block of candidates each dimension has postings for positive and for negative query weights: rows ordered by quantised
-impact (the distance from the block's least or greatest value), in segments of equal impact. A query reads segments of all dimensions
-in descending impact times weight and adds them to the accumulators of their rows. A row's unread dimensions can add no more than the
-next unread segment of each, and quantisation no more than one level of each: that bounds every score from above, the accumulators
-from below. Processing stops only when these bounds prove that few candidates can be members, or when no segment is left. All possible
-members, however many, are rescored exactly.
+Within a block of candidates each dimension has postings for positive and for negative query weights: the rows on that side of the
+dimension's median, ordered by quantised impact (their distance from the median, rounded up), in segments of equal impact. Rows on the other
+side can only lose by that dimension. A query reads segments of all dimensions in descending impact times weight and adds them to the
+accumulators of their rows, which so bound every score from above, up to the next unread segment of each dimension. The bar is the
+k-th best of exact scores of a few rows that lead so far. Processing stops when it is proved that all but a few rows lie below the bar,
+few enough that scoring them costs less than reading on, or when no segment is left. All possible members, however many, are scored exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.blocks import leading, search, usable
 
-#: Levels of quantised impact of a dimension; parts of the postings after which bounds are looked at; candidates few enough to stop for.
-LEVELS, LOOKS, FEW = 32, 8, 256
+#: Levels of quantised impact of a dimension's side; parts of the postings after which bounds are looked at.
+LEVELS, LOOKS = 8, 3
 #: Components beyond this are no exact doubles' products any more; such vectors are refused.
 LARGEST = 1 << 24
 
@@ -35,64 +35,70 @@ class Index:
     """Postings of a block of candidates: matrix of integers, one row each."""
 
     def __init__(self, c: np.ndarray):
-        low, high = c.min(0), c.max(0)
+        self.c = c
         self.n, self.d = c.shape
-        self.step = np.maximum(1.0, np.ceil((high - low + 1) / LEVELS))
-        #: By sign of the weight and dimension: rows by descending level, and where each level's segment begins among them.
-        self.rows, self.begin = np.empty((2, self.d, self.n), np.int64), np.empty((2, self.d, LEVELS + 1), np.int64)
-        for side, distance in enumerate((c - low, high - c)):
-            level = np.floor(distance / self.step).astype(np.int64)
+        self.centre = np.floor(np.median(c, 0)) if self.n else np.zeros(self.d)
+        #: By sign of the weight and dimension: the worth of a level, rows by descending level, and where each level's segment begins among them.
+        self.step, self.rows, self.begin = np.ones((2, self.d)), [], np.zeros((2, self.d, LEVELS + 1), np.int64)
+        for side, impact in enumerate((c - self.centre, self.centre - c)):
+            self.step[side] = np.maximum(1.0, np.ceil(impact.max(0, initial=0) / LEVELS))
+            level = np.ceil(np.maximum(impact, 0) / self.step[side]).astype(np.int8)
             for k in range(self.d):
-                self.rows[side, k] = np.argsort(-level[:, k], kind="stable")
+                size = np.bincount(level[:, k], minlength=LEVELS + 1)
+                self.rows.append(np.argsort(-level[:, k], kind="stable")[: self.n - size[0]])
                 # begin[v]: rows above level v.
-                self.begin[side, k] = self.n - np.cumsum(np.bincount(level[:, k], minlength=LEVELS + 1))[: LEVELS + 1]
-        self.read = self.whole = 0
+                self.begin[side, k] = self.n - np.cumsum(size)
+        self.read = self.whole = self.scored = 0
 
     def members(self, q: np.ndarray, k: int) -> np.ndarray:
         """Indices of all candidates that can have one of the k best scores of the query q, ties included."""
-        side, worth = (q < 0).astype(np.int64), np.abs(q) * self.step  # worth of one level
-        dims = np.flatnonzero(worth > 0)
-        begin = self.begin[side, np.arange(self.d)]
-        # Segments of levels LEVELS - 1 .. 1 of each dimension, by descending worth; level 0 adds nothing.
-        dim, level = np.repeat(dims, LEVELS - 1), np.tile(np.arange(LEVELS - 1, 0, -1), len(dims))
-        size = begin[dim, level - 1] - begin[dim, level]
-        dim, level, size = dim[size > 0], level[size > 0], size[size > 0]
-        value = worth[dim] * level
-        order = np.argsort(-value, kind="stable")
-        dim, level, size, value = dim[order], level[order], size[order], value[order]
+        if self.n <= k:
+            return np.arange(self.n)
+        side = (q < 0).astype(np.int64)
+        dims = np.arange(self.d)
+        worth, begin = np.abs(q) * self.step[side, dims], self.begin[side, dims]
+        # Segments of levels LEVELS .. 1 of each dimension, by descending worth.
+        size = (begin[:, :-1] - begin[:, 1:]).ravel()
+        value = (worth[:, None] * np.arange(1, LEVELS + 1)).ravel()
+        held = np.flatnonzero((size > 0) & (value > 0))
+        held = held[np.argsort(-value[held], kind="stable")]
+        dim, level, size, value = held // LEVELS, held % LEVELS + 1, size[held], value[held]
         upto = np.cumsum(size)
         every = int(upto[-1]) if len(upto) else 0
         self.whole += every
-        slack = worth.sum()  # what the quantisation of all dimensions hides, at most
-        total, unread = np.zeros(self.n), np.ones((self.n, self.d), np.float32)
+        base, total, bar = float(q @ self.centre), np.zeros(self.n), -np.inf
         at = 0
         while True:
-            to = min(len(size), int(np.searchsorted(upto, (upto[at - 1] if at else 0) + -(-every // LOOKS))) + 1) if len(size) else 0
+            to = min(len(size), int(np.searchsorted(upto, (upto[at - 1] if at else 0) + -(-every // LOOKS))) + 1) if at < len(size) else at
             if to > at:
-                rows = np.concatenate([self.rows[side[k], k, begin[k, v] : begin[k, v - 1]] for k, v in zip(dim[at:to], level[at:to], strict=True)])
+                rows = np.concatenate([self.rows[side[j] * self.d + j][begin[j, v] : begin[j, v - 1]] for j, v in zip(dim[at:to], level[at:to], strict=True)])
                 total += np.bincount(rows, np.repeat(value[at:to], size[at:to]), self.n)
-                unread.ravel()[rows * self.d + np.repeat(dim[at:to], size[at:to])] = 0
             self.read += int(size[at:to].sum())
             at = to
-            ahead = np.zeros(self.d, np.float32)  # the next unread segment of each dimension
-            np.maximum.at(ahead, dim[at:], np.nextafter(value[at:].astype(np.float32), np.float32(np.inf)))
-            rest = unread @ ahead
-            bar = np.partition(total, self.n - k)[self.n - k] if self.n > k else -np.inf
-            # Sums of single floats are off by less than a thousandth of their size here.
-            possible = np.flatnonzero(total + rest * 1.001 + slack >= bar)
-            if len(possible) <= max(FEW, 4 * k) or at >= len(size):
+            ahead = np.zeros(self.d)  # the next unread segment of each dimension: values fall, so the first one left
+            left, first = np.unique(dim[at:], return_index=True)
+            ahead[left] = value[at:][first]
+            # Exact scores of rows that lead now: at least k rows score as much as the k-th of them.
+            lead = np.argpartition(total, self.n - 2 * k)[self.n - 2 * k :] if self.n > 2 * k else np.arange(self.n)
+            scores = self.c[lead] @ q
+            bar = max(bar, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
+            possible = np.flatnonzero(total + ahead.sum() + base >= bar)
+            if at >= len(size) or len(possible) * self.d <= every - upto[at - 1]:
+                self.scored += len(possible)
                 return possible
 
 
 def kernel(k: int):
     def run(qi, q, ci, c):
         index = Index(c)
+        # Sums of whole doubles are exact below 2**53.
+        small = c.shape[1] * np.abs(c).max(initial=0) * np.abs(q).max(initial=0) < 1 << 53
         own = int((np.searchsorted(ci, qi, "right") - np.searchsorted(ci, qi)).max())
         at, ids, scores = [], [], []
         for i in range(len(qi)):
             found = index.members(q[i], k + own)
             found = found[ci[found] != qi[i]]
-            score = (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
+            score = (c[found] @ q[i]).astype(np.int64) if small else (c[found].astype(np.int64) * q[i].astype(np.int64)).sum(1)
             best = leading(np.zeros(len(found), np.int64), ci[found], score, k)
             at.append(np.full(len(best), i)), ids.append(ci[found][best]), scores.append(score[best])
         return np.concatenate(at), np.concatenate(ids), np.concatenate(scores)
