@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
-    """df written once to the cluster's shared folder (spark.checkpoint.dir) and read back; filters on column `by` then choose files.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that is not in use yet, in the folder that the driver and all executors share (spark.checkpoint.dir).
 
     Where that is unset, a session on one machine gets a temporary folder; on a cluster, where executors share none, it is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """df written once to the cluster's shared folder and read back; filters on column `by` then choose files."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path

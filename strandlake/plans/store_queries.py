@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators import matching, store
+from strandlake.operators.match_store import MatchStore
 from strandlake.operators.ordering import numbered
 from strandlake.plans.catalogue import _FULL, _LETTERS, _STATES, _WITH, query
 from strandlake.plans.fixture import Fixture
+from strandlake.plans.lineage import fresh_path
+from strandlake.sources import chunks
 
 #: Selections that the queries below are asked for.
 POSITIONS, DATE, SPLIT_DATE = [1, 2, 17, 300], "1995-01-05", "1997-06-30"
@@ -27,7 +30,10 @@ def _alignments(f: Fixture) -> DataFrame:
 from s cross join (values {", ".join(f"({p})" for p in POSITIONS)}) t(position) where position <= length(letters)"""
 )
 def variants_slice(f: Fixture) -> DataFrame:
-    return store.variants(_alignments(f), POSITIONS)
+    """All alignments are stored by site; the positions' cells are read back."""
+    path = fresh_path(f.spark, "alignments")
+    chunks.create(f.spark, path, _alignments(f), cell=256)
+    return chunks.variants(f.spark, path, POSITIONS)
 
 
 @query(_META % "date, n_name as country, r_name as region, c_mktsegment as segment" + f" where date = date '{DATE}'")
@@ -80,7 +86,15 @@ def match_count_newer(f: Fixture) -> DataFrame:
 
 @query(f"select * from ({_STORE}) x where match_date <= date '{SPLIT_DATE}'")
 def match_without_newer(f: Fixture) -> DataFrame:
-    return store.without_newer(f.matches, SPLIT_DATE).select("sample_id", "match_date", "hmm_cost", "parent")
+    """Two halves are added to a match store, the second one once more as a repeated batch, and newer matches are deleted."""
+    kept = MatchStore(f.spark, fresh_path(f.spark, "matches"))
+    rows = f.matches.select("sample_id", "match_date", "hmm_cost", "parent")
+    odd = F.pmod(F.xxhash64("sample_id"), F.lit(2)) == 1
+    kept.add(rows.where(~odd))
+    for _ in range(2):
+        kept.add(rows.where(odd), stream="halves", batch=0)
+    kept.delete_newer(SPLIT_DATE)
+    return kept.read()
 
 
 @query(f"select * from ({_STORE}) x where match_date = date '{SPLIT_DATE}' and hmm_cost <= 5")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strandlake.operators.match_store import MatchStore
+
 
 def daily_counts(matches: DataFrame, at: str = "match_time", late: str = "30 days") -> DataFrame:
     """A stream of matches (timestamp column at, hmm_cost) as day, total, exact, rejected; rows later than `late` are left out."""
@@ -15,17 +17,13 @@ def daily_counts(matches: DataFrame, at: str = "match_time", late: str = "30 day
 
 
 def keep_matches(matches: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of matches (sample_id, match_date, ...) to a parquet store by match_date, each sample once; runs over what is there and stops.
+    """Add a stream of matches (sample_id, match_date, ...) to the match store at `store`, each sample of a date once; runs over what is there and stops.
 
-    A batch that is run again after a failure finds its samples in the store and adds nothing.
+    A batch that fails leaves the store as it was; one that runs again after it was committed adds nothing. Only the periods that a batch
+    has rows of are read.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["sample_id"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(store).select("sample_id"), "sample_id", "left_anti")
-        new.write.mode("append").partitionBy("match_date").parquet(store)
+    def add(batch: DataFrame, number: int) -> None:
+        MatchStore(batch.sparkSession, store).add(batch, stream=checkpoint, batch=number)
 
     return matches.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandlake.operators.match_store import MatchStore
 from strandlake.streaming import daily
 
 SCHEMA = "sample_id string, match_date date, match_time timestamp, hmm_cost double"
@@ -16,7 +17,7 @@ def test_store_keeps_each_sample_once(spark, tmp_path):
     for rows in ([("a", "2020-01-01", 0.0), ("a", "2020-01-01", 0.0), ("b", "2020-01-02", 7.0)], [("b", "2020-01-02", 7.0), ("c", "2020-01-02", 1.0)]):
         matches(spark, rows).coalesce(1).write.mode("append").parquet(source)
         daily.keep_matches(spark.readStream.schema(SCHEMA).parquet(source), store, str(tmp_path / "state")).awaitTermination()
-    assert sorted(r.sample_id for r in spark.read.parquet(store).collect()) == ["a", "b", "c"]
+    assert sorted(r.sample_id for r in MatchStore(spark, store).read().collect()) == ["a", "b", "c"]
 
 
 def test_daily_counts(spark, tmp_path):
