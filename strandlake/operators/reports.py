@@ -50,7 +50,9 @@ def sample_groups_summary(matches: DataFrame, min_size: int, min_dates: int, ret
     named = sample_groups(matches, min_size, min_dates)
     newest = matches.agg(F.max("match_date").alias("newest"))  # one row
     per = matches.groupBy("hmm_cost", "parent").agg(F.countDistinct("scorpio").alias("lineages"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"))
-    met = named.join(per, ["hmm_cost", "parent"]).join(F.broadcast(newest))
+    # Samples without a parent are a group as well.
+    per = per.withColumnsRenamed({"hmm_cost": "own_cost", "parent": "own_parent"})
+    met = named.join(per, named["hmm_cost"].eqNullSafe(F.col("own_cost")) & named["parent"].eqNullSafe(F.col("own_parent"))).join(F.broadcast(newest))
     retro = (F.col("hmm_cost") > 0) & (F.col("last_date") > F.date_sub("newest", retro_days))
     return met.select("group_id", "parent", "samples", "dates", "lineages", "first_date", "last_date", retro.alias("is_retro"))
 

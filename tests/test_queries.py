@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strandlake.plans import attach_queries, catalogue, parsimony_queries, report_queries, rewrite_queries, store_queries  # noqa: F401
+from strandlake.plans import attach_queries, catalogue, check_queries, parsimony_queries, report_queries, rewrite_queries, store_queries  # noqa: F401
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
