@@ -216,3 +216,23 @@ def translated_paths(paths: DataFrame, coordinates: DataFrame, mirror: bool = Fa
         length = F.broadcast(known.agg(F.max("position").alias("length")))  # one row
         met, left, right = met.join(length), F.col("length") - right, F.col("length") - left
     return met.select(*[left.alias("left") if c == "left" else right.alias("right") if c == "right" else F.col(c) for c in paths.columns])
+
+
+def samples_kept(samples: DataFrame, most: int, include: DataFrame | None = None) -> DataFrame:
+    """samples: sample_id, missing (sites) and more. Those with at most so many missing sites, and those of `include` (sample_id) whatever they
+    miss; included tells the latter. A null count is too many."""
+    asked = samples.join(include.select("sample_id").distinct().withColumn("included", F.lit(True)), "sample_id", "left") if include is not None else samples.withColumn("included", F.lit(False))
+    return asked.withColumn("included", F.coalesce("included", F.lit(False))).where(F.col("included") | (F.col("missing") <= most))
+
+
+def group_members(matches: DataFrame, min_size: int, min_dates: int) -> DataFrame:
+    """group_id, sample_id, match_date: the samples of the groups that sample_groups() finds; a sample of null id is left out."""
+    groups = sample_groups(matches, min_size, min_dates).select("group_id", F.col("hmm_cost").alias("own_cost"), F.col("parent").alias("own_parent"))
+    same = (F.col("hmm_cost") + F.lit(0.0)).eqNullSafe(F.col("own_cost")) & F.col("parent").eqNullSafe(F.col("own_parent"))
+    return matches.where("sample_id is not null").join(groups, same).select("group_id", "sample_id", "match_date")
+
+
+def recombinant_samples(nodes: DataFrame, tops: DataFrame, members: DataFrame) -> DataFrame:
+    """node_id, sample_id: the samples that a recombinant node was made for. tops: group, node_id (the node below a group's path); members: group, sample_id."""
+    marked = nodes.where(fl.has(F.col("flags"), fl.RECOMBINANT)).select("node_id")
+    return tops.join(marked, "node_id", "left_semi").join(members, "group").select("node_id", "sample_id")

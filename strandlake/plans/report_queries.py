@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import flags as fl
+from strandlake.functions import sequences as sq
 from strandlake.operators import graph, matching, reports
 from strandlake.operators import mutations as mu
-from strandlake.plans.catalogue import _CLOSED, _COUNTS, _FULL, _PARSIMONY, _WITH, query
+from strandlake.plans.catalogue import _CLOSED, _COUNTS, _FULL, _MASKED, _PARSIMONY, _WITH, query
 from strandlake.plans.fixture import Fixture
 
 _GROUPS = """g as (select o_custkey % 8 as c, o_custkey as p, md5(string_agg('S' || o_orderkey, '' order by 'S' || o_orderkey)) as group_id, count(*) as samples, count(distinct cast(o_orderdate as date)) as dates,
@@ -178,3 +179,20 @@ def path_depths(f: Fixture) -> DataFrame:
 @query(_WITH + "select flags, count(*) as nodes, max(time) as oldest from nodes where flags & 8388608 = 8388608 group by 1")
 def recombinant_flags(f: Fixture) -> DataFrame:
     return f.nodes.where(fl.has(F.col("flags"), fl.RECOMBINANT)).groupBy("flags").agg(F.count("*").alias("nodes"), F.max("time").alias("oldest"))
+
+
+@query(f"with {_GROUPS} select group_id, 'S' || o_orderkey as sample_id, cast(o_orderdate as date) as match_date from g join orders on o_custkey = p where samples >= 3 and dates >= 2")
+def group_members(f: Fixture) -> DataFrame:
+    return matching.group_members(f.matches, min_size=3, min_dates=2)
+
+
+@query(
+    _MASKED
+    + """, counted as (select 'S' || doc_id as sample_id, cast(length(letters) - length(replace(letters, 'N', '')) as bigint) as missing from m), asked as (select distinct 'S' || doc_id as sample_id from labels where toxic = 1)
+select sample_id, missing, sample_id in (select sample_id from asked) as included from counted where missing <= 500 or sample_id in (select sample_id from asked)"""
+)
+def samples_kept(f: Fixture) -> DataFrame:
+    """Sequences of at most 500 missing sites after both masks; labelled ones (toxic) stay whatever they miss."""
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string")).alias("sample_id")
+    masked = f.sequences.select(name("doc_id"), sq.letters_of(sq.ambiguous_masked(sq.flanks_masked(F.col("letters"))), "N").alias("missing"))
+    return matching.samples_kept(masked, 500, f.read("labels").where("toxic = 1").select(name("doc_id")))

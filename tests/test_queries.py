@@ -9,7 +9,7 @@ from strandlake.plans import attach_queries, catalogue, check_queries, parsimony
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["marginal_trees", "node_data", "node_data_inheritance", "mutation_data", "mrca_pairs", "flags_summary", "breakpoint_intervals", "sample_groups", "daily_stats", "encode_alleles", "mask_flanks", "alignment_composition", "push_reversions_mutations", "coalesce_mutations", "recombinants_summary", "copying_table", "match_mutations", "variants_slice", "sample_groups_summary"]
+QUICK = ["marginal_trees", "node_data", "node_data_inheritance", "mutation_data", "mrca_pairs", "flags_summary", "breakpoint_intervals", "sample_groups", "daily_stats", "encode_alleles", "mask_flanks", "alignment_composition", "push_reversions_mutations", "coalesce_mutations", "recombinants_summary", "copying_table", "match_mutations", "variants_slice", "sample_groups_summary", "match_segments", "samples_kept", "shared_deletion_sites", "graph_invariants", "validate_genotypes"]
 
 
 @pytest.fixture(scope="module")
