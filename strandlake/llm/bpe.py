@@ -47,6 +47,9 @@ class Vocabulary:
         """Words met by this copy of the vocabulary, lately and before; a worker's tasks share it. It never travels."""
         return {}, {}
 
+    def __reduce__(self):
+        return Vocabulary, (self.byte_ids, self.merges, self.strings, self.added)
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it can be seen, else the next free letter from U+0100 on."""

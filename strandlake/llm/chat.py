@@ -164,7 +164,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation of format_conversations(), read back from its output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars. Parts of one conversation follow each other within a partition, as format_conversations() leaves them."""
+    formatted_chars. Parts of one conversation follow each other within a partition, as format_conversations() leaves them.
+
+    Turns of null conv_id are one conversation of null conv_id; an empty table gives an empty result; other columns are ignored.
+    """
 
     def read(batches):
         state = None
