@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small tables, with nulls, empty tables, ties and clashing columns."""
 
+import random
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import chat, hashing, html_text, mixing, ngram_join, pieces, pii, topk, toxicity, url_filter, words
+from strandlake.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -163,3 +165,18 @@ def test_words():
     assert got == [2, 0, 0, 1, 2]
     sets = list(words.shingle_sets(pa.array(texts), 2))
     assert (sets[0] == sets[4]).all()
+
+
+def test_components_of_chains_stars_and_odd_links(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(101, 100), (102, 100), (100, 102), (200, 200), (None, 7), (302, 301), (302, 300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {300: 300, 301: 300, 302: 300}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+    rng = random.Random(3)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+    least = list(range(120))
+    for _ in range(120):
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {n: least[n] for u, v in links if u != v for n in (u, v)}
