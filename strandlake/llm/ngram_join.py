@@ -8,12 +8,12 @@ Two documents link when the Jaccard similarity of their sets of k-word shingles
 3. A set of n shingles can only reach the similarity with another if both share one of their n - ceil(similarity * n) + 1 first
    shingles (the prefix). Shingles of one class need no posting, so most classes have none and are done. Of the others, those with the
    same prefix and size form one group, which posts its prefix once.
-4. Postings meet by shingle, in three passes; after each, groups of one component need no more pairs among themselves. First each
-   posting meets the head of its shingle's list, then one of the largest component of the list, last all others of the list outside
-   its component. Pairs of groups pass filters of size, position and shared prefix, are expanded to their classes, and verified.
+4. A group's home is the longest list of postings that it is in. Classes of one home and similar size form cells of bounded size. Cells
+   meet by shingle, pairs of cells pass filters of size and position, and each is expanded to its classes once and verified as a whole: the
+   overlaps of all its pairs of sets are counted together, so no pair of groups or classes is ever a row.
 
-Verification compares whole sets. No link is lost that components need: every pair of documents either is verified, or cannot reach
-the similarity, or lies in one component already. Sets and shingles are told apart by 64-bit hashes.
+Verification compares whole sets, and every link is counted, whatever its component. No link is lost: every pair of documents either is
+verified or cannot reach the similarity. Sets and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -189,12 +189,6 @@ def _overlap(na: str, nb: str, t: Fraction) -> str:
     return f"cast(ceil(({na} + {nb}) * {p}D / {p + q}D - 1e-9) as int)"
 
 
-def _possible(a: str, b: str, t: Fraction) -> str:
-    """SQL: whether sets of sizes n_a and n_b that first share the shingles at positions pos_a and pos_b can reach the similarity."""
-    size = f"least(n_{a}, n_{b}) * {t.denominator} >= greatest(n_{a}, n_{b}) * {t.numerator}"
-    return f"{size} and 1 + least(n_{a} - pos_{a} - 1, n_{b} - pos_{b} - 1) >= {_overlap(f'n_{a}', f'n_{b}', t)}"
-
-
 def _sets(chosen: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """digest, shingles of the classes in wanted."""
 
@@ -207,99 +201,160 @@ def _sets(chosen: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return chosen.join(wanted, "digest", "left_semi").select("digest", "text").mapInArrow(build, "digest bigint, shingles binary")
 
 
-#: Pairs that are verified in one task, at most about; blocks get half of it on average.
+#: What is verified in one task, at most about: so many pairs of sets, or cells by their cost; blocks get half of it on average.
 _PAIRS_A_BLOCK = 5000
+#: Classes and shingles of a cell, at most about; a larger set is a cell of its own. A pair of cells costs one and so many shingles one more.
+CELL_CLASSES, CELL_SHINGLES, _SHINGLES_A_PAIR = 512, 1 << 19, 1 << 10
+#: Columns of a dense product at once, pairs of rows listed at once, and how many products cost as much as one listed pair.
+_COLUMNS, _LISTED, _DENSE = 4096, 1 << 20, 200
 
 
 def _blocked(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their block. An a of many pairs is dealt by (a, salt) to several blocks: its pairs, counted before, in cells
-    of a sixteenth of a block."""
-    cell = max(1, _PAIRS_A_BLOCK // 16)
-    blocks = max(24, -(-2 * pairs.count() // _PAIRS_A_BLOCK))
-    hot = table(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > cell).select("a", F.ceil(F.col("c") / cell).cast("bigint").alias("salts")), "salts")
+    """The pairs (a, b) with their block. An a of many pairs is dealt by (a, salt) to several blocks: its pairs, counted before, in parts
+    of a sixteenth of a block. A column cost, if there is one, says how many pairs one counts for."""
+    part = max(1, _PAIRS_A_BLOCK // 16)
+    cost = F.sum("cost") if "cost" in pairs.columns else F.count("*")
+    blocks = max(24, -(-2 * int(pairs.agg(cost).first()[0] or 0) // _PAIRS_A_BLOCK))
+    hot = table(pairs.groupBy("a").agg(cost.alias("c")).where(F.col("c") > part).select("a", F.ceil(F.col("c") / part).cast("bigint").alias("salts")), "salts")
     salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("bigint")))
     return pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(blocks)).cast("int").alias("block"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of digests whose sets (digest, shingles) reach the similarity. Pairs come in blocks, and every set goes once to each block that needs it."""
+def _cell(rows: pa.Table) -> tuple:
+    """Of a cell's sets: digests, sizes, all shingles in order with the row of each, the distinct ones with their first place and count."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+    size = np.array([len(x) for x in sets], np.int64)
+    token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(token, kind="stable")
+    distinct, first, count = np.unique(token[order], return_index=True, return_counts=True)
+    return rows.column("digest").to_numpy(), size, row[order], distinct, first, count
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places first, first + 1, ... of each shingle, and the number of the shingle."""
+    of = np.repeat(np.arange(len(first)), count)
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of)), of
+
+
+def _shared(x: tuple, y: tuple) -> np.ndarray:
+    """How many shingles each set of cell x shares with each set of cell y. Shingles of many rows are multiplied as columns, others list their pairs of rows."""
+    (_, nx, rx, dx, fx, cx), (_, ny, ry, dy, fy, cy) = x, y
+    out = np.zeros(len(nx) * len(ny), np.int64)
+    _, ix, iy = np.intersect1d(dx, dy, assume_unique=True, return_indices=True)
+    work = cx[ix] * cy[iy]
+    dense = work * _DENSE >= len(out)
+    for s in range(0, np.count_nonzero(dense), _COLUMNS):
+        side = []
+        for n, r, f, c, i in ((nx, rx, fx, cx, ix), (ny, ry, fy, cy, iy)):
+            i = i[dense][s : s + _COLUMNS]
+            place, of = _places(f[i], c[i])
+            m = np.zeros((len(n), len(i)), np.float32)
+            m[r[place], of] = 1
+            side.append(m)
+        out += (side[0] @ side[1].T).astype(np.int64).ravel()
+    ix, iy, work = ix[~dense], iy[~dense], work[~dense]
+    step = np.cumsum(work) // _LISTED
+    for i, j in zip(*(np.split(v, np.flatnonzero(np.diff(step)) + 1) for v in (ix, iy)), strict=True):
+        px, of = _places(fx[i], cx[i])
+        py, at = _places(fy[j][of], cy[j][of])
+        out += np.bincount(rx[px][at] * len(ny) + ry[py], minlength=len(out))
+    return out.reshape(len(nx), len(ny))
+
+
+def _forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Which of the links (u, v) suffice to connect all that they connect. In each round a component hooks onto a smaller one."""
+    label, open_, kept = np.arange(nodes), np.arange(len(u)), []
+    while True:
+        ends = np.sort(np.stack([label[u[open_]], label[v[open_]]]), axis=0)
+        apart = ends[0] < ends[1]
+        open_, (low, high) = open_[apart], ends[:, apart]
+        if not len(open_):
+            return np.concatenate(kept) if kept else open_
+        top, first = np.unique(high, return_index=True)
+        kept.append(open_[first])
+        to = np.arange(nodes)
+        to[top] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """All links of classes in the pairs (a, b) of cells. sets: cell, digest, shingles. Returns rows (a, null, c): class a has c links in one
+    block of pairs, and rows (a, b, 0): links that connect whatever links connect. Pairs come in blocks, and every cell goes once to each
+    block that needs it."""
     p, q = t.numerator, t.denominator
     blocked = _blocked(pairs)
-    needed = blocked.select(F.col("block").alias("part"), F.explode(F.array("a", "b")).alias("digest")).distinct()
-    sent = needed.join(sets, "digest").select("part", "digest", "shingles")
+    needed = blocked.select(F.col("block").alias("part"), F.explode(F.array("a", "b")).alias("cell")).distinct()
+    sent = needed.join(sets, "cell").select("part", "cell", "digest", "shingles")
 
     def compare(key, asked, sets):
-        of = dict(zip(sets.column("digest").to_pylist(), sets.column("shingles"), strict=True))
-        keep = []
+        sets = sets.sort_by("cell")
+        cell = sets.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+        of = {int(cell[i]): _cell(sets.slice(i, z - i)) for i, z in zip(cuts, cuts[1:], strict=False) if z > i}
+        digests = np.concatenate([c[0] for c in of.values()])
+        begin = dict(zip(of, np.cumsum([0, *(len(c[0]) for c in of.values())]), strict=False))
+        count, edges = np.zeros(len(digests), np.int64), [np.zeros((2, 0), np.int64)]
         for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
-            x, y = np.frombuffer(of[a].as_buffer(), np.uint64), np.frombuffer(of[b].as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(q * both >= p * (len(x) + len(y) - both))
-        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = of[a], of[b]
+            both = _shared(x, y)
+            link = q * both >= p * (x[1][:, None] + y[1] - both)
+            u, v = np.nonzero(np.triu(link, 1) if a == b else link)
+            if not len(u):
+                continue
+            u, v = u + begin[a], v + begin[b]
+            count += np.bincount(u, minlength=len(count)) + np.bincount(v, minlength=len(count))
+            few = _forest(u, v, len(count))
+            edges.append(np.stack([u[few], v[few]]))
+        u, v = np.concatenate(edges, axis=1)
+        few = _forest(u, v, len(count))
+        ends = [np.concatenate([digests[count > 0], digests[u[few]]]), pa.concat_arrays([pa.nulls(np.count_nonzero(count), pa.int64()), pa.array(digests[v[few]], pa.int64())])]
+        return pa.table([*ends, np.concatenate([count[count > 0], np.zeros(len(few), np.int64)])], ["a", "b", "c"])
+
+    return blocked.groupBy("block").cogroup(sent.groupBy("part")).applyInArrow(compare, "a bigint, b bigint, c bigint")
 
-    return blocked.groupBy("block").cogroup(sent.groupBy("part")).applyInArrow(compare, "a bigint, b bigint")
 
-
-def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of digests whose sets (digest, shingles) reach the similarity: every class is its own cell."""
+    return _linked(pairs, sets.withColumn("cell", F.col("digest")), t).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _cells(prefixes: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Cells of the classes (digest, cell), and pairs of cells (a, b, cost) that hold all pairs of classes that can reach the similarity, each once."""
+    groups = table(prefixes.groupBy("grp").agg(F.min("n").alias("n"), F.min("alone").alias("alone"), F.count("*").alias("classes"), F.any_value("tokens").alias("tokens")), "groups")
+    posted = groups.select("grp", "n", "alone", "classes", F.posexplode("tokens").alias("i", "token")).select("token", "grp", "n", "classes", F.expr("n - alone - i - 1").alias("behind"))
+    shared = posted.groupBy("token").agg(F.sum("classes").alias("c")).where("c > 1")
+    lists = table(posted.join(shared, "token"), "lists")
+    # A group's home is the longest list that it is in; a band holds sizes that differ by less than the similarity lets them.
+    band = F.floor(F.log(F.col("n")) / math.log(1 / t)) if t < 1 else F.col("n").cast("bigint")
+    homes = lists.groupBy("grp").agg(F.max_by("token", F.struct("c", "token")).alias("home"), F.min("n").alias("n"), F.min("classes").alias("classes")).withColumn("band", band)
+    homes = table(homes, "homes")
+    salts = homes.groupBy("home", "band").agg(F.ceil(F.greatest(F.sum("classes") / CELL_CLASSES, F.sum(F.col("classes") * F.col("n")) / CELL_SHINGLES)).alias("salts"))
+    home = homes.join(salts, ["home", "band"]).select("grp", "home", "band", "salts")
+    cell = F.xxhash64("home", "band", F.pmod(F.xxhash64("digest"), F.col("salts")))
+    members = table(prefixes.select("digest", "grp", "n").join(home, "grp").select("digest", "grp", "n", cell.alias("cell")), "members")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    # Cells meet by shingle. What is true of a pair of classes at the first shingle that they share is true of the bounds of their cells.
+    placed = lists.join(members.select("grp", "cell").distinct(), "grp").groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("behind").alias("behind"))
+    several = table(placed, "placed")
+    side = lambda s: several.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "low", "high", "behind")])
+    p, q = t.numerator, t.denominator
+    fits = f"high_a * {q} >= low_b * {p} and high_b * {q} >= low_a * {p} and 1 + least(behind_a, behind_b) >= {_overlap('low_a', 'low_b', t)}"
+    met = side("a").join(side("b"), "token").where("cell_a < cell_b").where(fits).select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct()
+    own = sizes.where("classes > 1").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    of = lambda s: sizes.select(F.col("cell").alias(s), F.col("shingles").alias(f"shingles_{s}"))
+    cost = F.expr(f"1 + (shingles_a + shingles_b) div {_SHINGLES_A_PAIR}")
+    pairs = table(met.unionByName(own).join(of("a"), "a").join(of("b"), "b").select("a", "b", cost.alias("cost")), "pairs")
+    drop(groups), drop(lists), drop(homes), drop(several)
+    return members, pairs
 
 
 def _links(prefixes: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Verified links (a, b) of classes, as many as their components need."""
-    groups = table(prefixes.groupBy("grp").agg(F.min("n").alias("n"), F.min("alone").alias("alone"), F.min("digest").alias("head"), F.any_value("tokens").alias("tokens")), "groups")
-    posted = groups.select("grp", "n", "alone", F.posexplode("tokens").alias("i", "token")).select("token", "grp", "n", (F.col("alone") + F.col("i")).alias("pos"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    lists = table(posted.join(shared, "token", "left_semi"), "lists")
-    side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "token"])
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Of pairs of groups (grp_a, grp_b), those that share enough of their prefixes to reach the similarity."""
-        of = lambda s: groups.select(*[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "alone", "head", "tokens")])
-        met = pairs.join(of("a"), "grp_a").join(of("b"), "grp_b")
-        need = _overlap("n_a", "n_b", t)
-        prefix = lambda s: f"alone_{s} + size(tokens_{s}) - (n_{s} - {need})"
-        return met.where(f"size(array_intersect(tokens_a, tokens_b)) >= least({prefix('a')}, {prefix('b')})")
-
-    def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Classes with their component so far, and the postings of lists in which several components remain, with the largest of the list."""
-        found = components(links.toDF("u", "v"))
-        named = table(prefixes.select("grp", "digest").join(found.toDF("digest", "component"), "digest", "left").select("grp", "digest", F.coalesce("component", "digest").alias("component")), "named")
-        placed = lists.join(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "grp")
-        sizes = placed.groupBy("token", "low").agg(F.count("*").alias("c"), F.max("high").alias("high"))
-        largest = sizes.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.max_by("low", F.struct("c", "low")).alias("largest")).where("l < h").select("token", "largest")
-        return named, table(placed.join(largest, "token"), "open")
-
-    # First pass: each posting with the head of its list, and classes of one group with their own head.
-    lead = side(lists.groupBy("token").agg(F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp")).alias("one")).select("token", "one.*"), "b")
-    near = side(lists, "a").join(lead, "token").where("grp_a <> grp_b").where(_possible("a", "b", t)).select(F.least("grp_a", "grp_b").alias("grp_a"), F.greatest("grp_a", "grp_b").alias("grp_b")).distinct()
-    inside = prefixes.join(groups.select("grp", "head"), "grp").where("digest <> head")
-    first = table(_ordered(counted(near), "head_a", "head_b").unionByName(_ordered(inside, "digest", "head")), "pairs")
-    links = table(_verified(first, sets, t), "links")
-
-    # Second pass: each posting with one of the largest component of its list.
-    named, open_lists = joined(links)
-    member = side(open_lists.where("low = largest").groupBy("token").agg(F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp", "token")).alias("one")).select("token", "one.*"), "b")
-    toward = side(open_lists, "a").where("low_a <> largest_a").join(member, "token").where(_possible("a", "b", t)).select("grp_a", "grp_b").distinct()
-    second = table(_ordered(counted(toward), "head_a", "head_b").join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(table(_verified(second, sets, t), "links"))
-    drop(named), drop(open_lists)
-
-    # Last pass: all pairs of a list that components leave open. One side is never in the list's largest component, so that this
-    # component's own members do not meet each other.
-    named, open_lists = joined(links)
-    rest = side(open_lists, "a").where("low_a <> largest_a or high_a <> largest_a")
-    both_rest = "(low_b <> largest_b or high_b <> largest_b)"
-    met = rest.join(side(open_lists, "b"), "token").where("low_a <> high_a or low_b <> high_b or low_a <> low_b").where(f"grp_a < grp_b or grp_a > grp_b and not {both_rest}").where(_possible("a", "b", t))
-    met = met.select(F.least("grp_a", "grp_b").alias("grp_a"), F.greatest("grp_a", "grp_b").alias("grp_b")).distinct()
-    of = lambda s: named.select(F.col("grp").alias(f"grp_{s}"), F.col("digest").alias(f"digest_{s}"), F.col("component").alias(f"component_{s}"))
-    across = counted(met).select("grp_a", "grp_b").join(of("a"), "grp_a").join(of("b"), "grp_b").where("component_a <> component_b")
-    several = named.groupBy("grp").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("grp")
-    split = named.join(several, "grp", "left_semi")
-    within = split.toDF("grp", "digest_a", "component_a").join(split.toDF("grp", "digest_b", "component_b"), "grp").where("digest_a < digest_b and component_a <> component_b")
-    left = _ordered(across.select("digest_a", "digest_b").unionByName(within.select("digest_a", "digest_b")), "digest_a", "digest_b")
-    last = table(left.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(table(_verified(last, sets, t), "links"))
-    drop(named), drop(open_lists), drop(lists), drop(groups)
+    """All verified links of classes, as _linked() returns them: numbers of links, and the links that components need."""
+    members, pairs = _cells(prefixes, t)
+    links = table(_linked(pairs, sets.join(members.select("digest", "cell"), "digest"), t), "links")
+    drop(members), drop(pairs)
     return links
 
 
@@ -317,8 +372,8 @@ def _classed(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     sets = table(_sets(chosen, prefixes.select("digest"), k), "sets")
     drop(chosen)
     links = _links(prefixes, sets, t)
-    found = components(links.toDF("u", "v")).toDF("digest", "component")
-    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
+    found = components(links.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("digest", "component")
+    degree = links.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("c").alias("n_links"))
     linked = found.join(classes.select("digest", "rep"), "digest")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     of = linked.join(least, "component").join(degree, "digest").select("digest", "component", "least", "n_links")
@@ -330,8 +385,8 @@ def _classed(docs: DataFrame, k: int, similarity: float) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.75) -> DataFrame:
     """docs: doc_id (bigint), text. Returns doc_id, n_shingles, component_id, n_links for every row of docs.
 
-    component_id is the smallest doc_id that links reach, n_links the number of verified links of the row's class of equal sets
-    (those that components needed; copies have none of their own). Null and empty texts have no shingles and their own doc_id as component;
+    component_id is the smallest doc_id that links reach, n_links the number of all other classes that the row's class of equal sets
+    links with (copies are of one class and have no links of their own). Null and empty texts have no shingles and their own doc_id as component;
     repeated rows each get a row, and rows of one doc_id with different texts are told apart. Rows of null doc_id take the component of their
     copies (null without any) and link nothing themselves. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """

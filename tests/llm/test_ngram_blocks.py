@@ -4,6 +4,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.llm import ngram_join
@@ -96,3 +97,67 @@ def test_many_texts_of_one_id_are_stored_once_each(spark, monkeypatch):
     rows = [(7, " ".join([*base[i % 60][: 40 - i // 60], f"x{i}"])) for i in range(300)] + [(8, " ".join(base[0]))]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == _brute(rows)[0] and counts["texts"] == 301
+
+
+def _brute_links(rows):
+    """Per row, how many different sets its own set links with."""
+    words = [re.findall("[^\x20\x09-\x0d]+", (t or "").lower()) for _, t in rows]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
+    return sorted((doc, sum(4 * len(s & o) >= 3 * len(s | o) for o in set(sets) if o and o != s)) for (doc, _), s in zip(rows, sets, strict=True))
+
+
+def test_every_link_counts(spark, monkeypatch):
+    """Near copies that link with each other, not only with the head of their component; cells of a few classes."""
+    monkeypatch.setattr(ngram_join, "CELL_CLASSES", 7)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        words = [f"w{i % 2}x{j}" for j in range(90 - i % 5)]
+        for j in rng.integers(0, 80, int(rng.integers(0, 4))):
+            words[j] = f"z{rng.integers(6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[3][1]), (201, "short text"), (202, "short  text"), (203, None), (204, "other short text")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = _brute_links(rows)
+    assert sorted((r.doc_id, r.n_links) for r in got) == want and max(n for _, n in want) > 40
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _brute(rows)[0]
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """600 near copies: what is stored and verified stays in proportion to them, though they have 180 000 pairs."""
+    counts, keep = {}, ngram_join.table
+
+    def counted(df, name):
+        out = keep(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "table", counted)
+    rows = [(i, " ".join([*(f"w{j}" for j in range(60)), f"x{i}"])) for i in range(600)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 599)}
+    assert counts["pairs"] < 100 and counts["links"] < 3000
+
+
+def test_overlaps_and_forests():
+    rng = np.random.default_rng(3)
+    for most in (30, 3000):
+        sets = [np.unique(rng.integers(0, most, int(rng.integers(1, 60)))).astype(np.uint64) for _ in range(40)]
+        cell = lambda part: ngram_join._cell(pa.table({"digest": np.arange(len(part)), "shingles": [s.tobytes() for s in part]}))
+        for x, y in ((sets[:25], sets[25:]), (sets, sets), (sets[:1], sets[1:2])):
+            assert ngram_join._shared(cell(x), cell(y)).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    for n in (0, 1, 50, 400):
+        u, v = rng.integers(0, 200, n), rng.integers(0, 200, n)
+        few = ngram_join._forest(u, v, 200)
+        groups = lambda at: [min(find(at, i)) for i in range(200)]
+
+        def find(at, i):
+            seen, todo = {i}, [i]
+            while todo:
+                k = todo.pop()
+                new = {int(v[e]) for e in at if u[e] == k} | {int(u[e]) for e in at if v[e] == k}
+                todo += new - seen
+                seen |= new
+            return seen
+
+        assert groups(range(n)) == groups(few) and len(few) == 200 - len(set(groups(few)))
