@@ -109,6 +109,31 @@ def _placed(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = 1.5
     )
 
 
+def _uses(placed: DataFrame) -> DataFrame:
+    """A row for each use of each row of _placed(): its number copy, the words it takes, the time at which it is due. A row that is not
+    taken keeps one, whose copy is null."""
+    copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0), F.expr("cast(ceil(taken / size) as int) - 1")))
+    begun = F.col("copy") * (F.col("source_size") / F.greatest(F.col("target"), F.lit(1.0)))
+    words = F.when(F.col("copy").isNotNull(), F.least("size", F.col("taken") - F.col("copy") * F.col("size"))).otherwise(F.lit(0).cast("bigint"))
+    time = F.when(F.col("copy").isNotNull(), _due(F.col("__mix_share") + begun, F.col("__mix_slope")))
+    return placed.select("*", F.explode_outer(copies).alias("copy")).select("*", words.alias("words"), time.alias("time"))
+
+
+def schedule(docs: DataFrame, **settings) -> DataFrame:
+    """docs: doc_id, source, text. The curriculum: doc_id, source, size, source_size, target, copy, words, time of each use of each row, range-sorted by
+    the time at which it is due. Rows that are not taken come first, once, with null copy and time. An empty table gives an empty result; repeated
+    rows have uses of their own; other columns, whatever their names, are ignored."""
+    uses = _uses(_placed(docs.select("doc_id", "source", "text"), **settings))
+    return uses.select("doc_id", "source", "size", "source_size", "target", "copy", "words", "time").orderBy("time", "doc_id")
+
+
+def rows_of(uses: DataFrame) -> DataFrame:
+    """uses: as of schedule(). Returns doc_id, source, size, source_size, target, taken (its uses' words), position (time of its first use) for
+    every row that went into the schedule. Repeated rows are used alike, so they are told apart by their number only. Empty gives empty."""
+    folded = uses.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("words"), F.min("time").alias("position"), F.expr("cast(count_if(coalesce(copy, 0) = 0) as int)").alias("rows"))
+    return folded.select("doc_id", "source", "size", "source_size", "target", F.expr("words div rows").alias("taken"), "position", F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("row")).drop("row")
+
+
 def training_order(docs: DataFrame, **settings) -> DataFrame:
     """docs as the mix takes them: once for each begun pass, range-sorted by the time at which each use is due. Columns as in docs.
 
@@ -117,11 +142,8 @@ def training_order(docs: DataFrame, **settings) -> DataFrame:
     """
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("kept")
     mixed = _placed(docs.select(whole, "doc_id", "source", "text"), **settings).where("taken > 0")
-    uses = F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(taken / size) as int) - 1"))).alias("copy")
-    again = mixed.select("kept", "doc_id", "text", "size", "taken", "__mix_share", "__mix_slope", (F.col("source_size") / F.greatest(F.col("target"), F.lit(1.0))).alias("pass"), uses)
-    due = _due(F.col("__mix_share") + F.col("copy") * F.col("pass"), F.col("__mix_slope"))
-    ordered = again.orderBy(due, "doc_id")
-    left = F.col("taken") - F.col("copy") * F.col("size")
+    ordered = _uses(mixed).select("kept", "doc_id", "text", "size", "words", "time").orderBy("time", "doc_id")
+    left = F.col("words")
     # Cut before each word: white space in front of the first word is a part of its own.
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     ahead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)

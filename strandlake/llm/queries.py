@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, chat, hashing, html_text, mixing, ngram_join, pieces, pii, runs, topk, toxicity, url_filter, variants
+from strandlake.llm.shared import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -118,8 +119,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    uses = table(mixing.schedule(read(spark, sf_dir, "documents")), "schedule")
+    return mixing.rows_of(uses).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 @query
